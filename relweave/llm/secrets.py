@@ -72,7 +72,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     linked = F.when(role == "id", near(role == "secret", scope + 1)).when(role == "secret", near(role == "id", scope + 1)).otherwise(near(role.isin("id", "secret"), scope + 1))
     judged = every.withColumn("overlaps", near(F.col("strong"), 0)).withColumn("linked", linked)
     span = F.struct("start", "order", "kind", "end")
-    told = F.col("strong") | F.col("linked") & ~F.col("overlaps")
+    told = F.col("kind").isNotNull() & (F.col("strong") | F.col("linked") & ~F.col("overlaps"))
     counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return judged.groupBy("row", "id").agg(*counts, F.array_sort(F.collect_list(F.when(F.col("strong"), span))).alias("base"), F.array_sort(F.collect_list(F.when(told, span))).alias("spans")).select(F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "base", "spans")
 
