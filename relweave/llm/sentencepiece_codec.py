@@ -21,13 +21,15 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: A worker hands back results of about so many characters at a time, and its table holds so many chunks.
+PIECE_CHARS, TABLE = 1_000_000, 120_000
 RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
 
 
 class ChunkCodec:
     """Encodes and decodes whole texts by distinct chunks. ``most``: entries that the table may hold before it is emptied."""
 
-    def __init__(self, model: bytes, most: int = 400_000):
+    def __init__(self, model: bytes, most: int = TABLE):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -100,16 +102,10 @@ class ChunkCodec:
         return self.flat[place], "".join(map(self.text.__getitem__, at.tolist()))[1:]
 
     def run(self, texts: list[str | None]) -> list[tuple[np.ndarray, str]]:
-        """Ids and decoded text of each. New chunks of about a million characters are learnt together."""
-        done, some, size = [], [], 0
-        for i, t in enumerate(texts, 1):
-            some.append(self.chunks(t) if t else [])
-            size += len(t or "")
-            if size > 1_000_000 or i == len(texts):
-                self.learn([c for x in some for c in x])
-                done += [self.place(x) for x in some]
-                some, size = [], 0
-        return done
+        """Ids and decoded text of each; new chunks of all of them are learnt together."""
+        cut = [self.chunks(t) if t else [] for t in texts]
+        self.learn([c for x in cut for c in x])
+        return [self.place(x) for x in cut]
 
 
 def codec_udf(spark: SparkSession, model_path: str):
@@ -120,8 +116,14 @@ def codec_udf(spark: SparkSession, model_path: str):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = ChunkCodec(model.value)
         for texts in batches:
-            done = codec.run(list(texts))
-            yield pd.DataFrame({"ids": [x for x, _ in done], "decoded": [x for _, x in done]})
+            some, size = [], 0
+            for i, t in enumerate(texts, 1):
+                some.append(t)
+                size += len(t or "")
+                if size > PIECE_CHARS or i == len(texts):
+                    done = codec.run(some)
+                    yield pd.DataFrame({"ids": [x for x, _ in done], "decoded": [x for _, x in done]})
+                    some, size = [], 0
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(run, RESULT).asNondeterministic()
