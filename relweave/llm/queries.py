@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import chat, lines, merkle, mixing, quality, secrets, sentencepiece_codec, toxicity
+from relweave.llm import chat, lines, merkle, minhash, mixing, quality, secrets, sentencepiece_codec, toxicity
 from relweave.llm.common import table
 
 #: The operator's text that holds control strings, formatted as conversation -1.
@@ -38,6 +38,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
