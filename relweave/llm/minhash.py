@@ -7,10 +7,11 @@ sets is high enough. With 40 bands of 6 coordinates a pair at similarity 0.8 is
 once in 6e8.
 
 Work is on distinct sets (nodes): copies fall together by a hash of the set before anything is compared. Buckets are never
-expanded to all pairs at once. Each member is first compared with one pivot of its bucket. Links are contracted to components;
-buckets that then hold one component are done. In the others a spanning forest of the most alike members (by signature) of
-different components is compared, and at last, in blocks, all pairs that are still in different components and whose signatures
-agree often enough for a link. Components come from repeated contraction to the least neighbour; each round is a written table.
+expanded to pairs. Each member is first compared with one pivot of its bucket, and links are contracted to components; buckets
+that then hold one component are done. In the others, members of different components whose signatures agree often enough for
+a link are gathered to clusters, and the clusters' sets are compared exactly, in blocks of bounded size, which yield only as
+many links as join components. So a large group of near copies costs comparisons in memory but never rows. Components come from
+repeated contraction to the least neighbour; each round is a written table.
 
 Cases: texts without words (or null) have an empty set and are linked with nothing; texts with fewer words than a shingle have
 their whole sequence as the one shingle; repeated rows fall together; rows with a null id are left alone (component null);
@@ -139,54 +140,110 @@ def _confirm(percent: int):
     return run
 
 
-def _agreeing(rows: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Index pairs of different components whose signatures and sizes allow a link, with their agreement."""
-    sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
-    label, n = rows["label"].to_numpy(), rows["n"].to_numpy()
-    need = int(AGREE * sig.shape[1])
-    for i in left:
-        js = right[(label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= 79 * np.maximum(n[right], n[i]))]
-        if len(js):
-            same = np.count_nonzero(sig[js] == sig[i], axis=1)
-            js, same = js[same >= need], same[same >= need]
-            yield np.full(len(js), i), js, same
-
-
-def _forest(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of a block's components, the most alike pairs first."""
-    every = list(_agreeing(rows, np.arange(len(rows)), np.arange(len(rows))))
-    if not every:
-        return pd.DataFrame({"a": [], "b": []})
-    i, j, same = (np.concatenate(x) for x in zip(*every, strict=True))
-    up = i < j
-    i, j, same = i[up], j[up], same[up]
-    label, node, parent, out = rows["label"].to_numpy(), rows["node"].to_numpy(), {}, []
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str], most: int) -> Iterator[pd.DataFrame]:
+    """Whole groups of rows that come sorted by keys, of ``most`` rows or more together where they are small."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) < most:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        k = rows[keys].to_numpy()
+        last = int(np.flatnonzero((k[1:] != k[:-1]).any(axis=1))[-1]) + 1 if (k[1:] != k[:-1]).any() else 0
+        if last:
+            yield rows.iloc[:last].reset_index(drop=True)
+        held = [rows.iloc[last:]]
+    if held and sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
+
+
+def _bounds(rows: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
+    k = rows[keys].to_numpy()
+    edges = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+class _Forest:
+    def __init__(self) -> None:
+        self.parent: dict = {}
+
+    def root(self, x):
+        while self.parent.setdefault(x, x) != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
         return x
 
-    for k in np.argsort(-same, kind="stable"):
-        a, b = root(label[i[k]]), root(label[j[k]])
-        if a != b:
-            parent[a] = b
-            out.append((node[i[k]], node[j[k]]))
-    return pd.DataFrame(out, columns=["a", "b"])
+    def join(self, a, b) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.parent[a] = b
+        return a != b
+
+
+_PAIR = ["key", "first", "second"]
+
+
+def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a bucket's pair of blocks, members of different components that may be linked by their sizes and signatures: edges
+    that join all such, one less than members at most."""
+    for rows in _groups(batches, _PAIR, 20_000):
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+        label, n, node, block = (rows[c].to_numpy() for c in ("label", "n", "node", "block"))
+        need, out = int(AGREE * sig.shape[1]), []
+        bounds = _bounds(rows, _PAIR)
+        i = np.array([lo for lo, hi in bounds if hi - lo == 2], np.int64)
+        i = i[(label[i] != label[i + 1]) & (100 * np.minimum(n[i], n[i + 1]) >= 79 * np.maximum(n[i], n[i + 1]))] if len(i) else i
+        i = i[np.count_nonzero(sig[i] == sig[i + 1], axis=1) >= need] if len(i) else i
+        out += zip(node[i].tolist(), node[i + 1].tolist(), strict=True)
+        for lo, hi in bounds:
+            if hi - lo < 3:
+                continue
+            first, second = rows["first"].iloc[lo], rows["second"].iloc[lo]
+            right, forest = lo + np.flatnonzero(block[lo:hi] == second), _Forest()
+            for i in (lo + np.flatnonzero(block[lo:hi] == first)).tolist():
+                js = right[right > i] if first == second else right
+                js = js[(label[js] != label[i]) & (100 * np.minimum(n[js], n[i]) >= 79 * np.maximum(n[js], n[i]))]
+                if len(js):
+                    js = js[np.count_nonzero(sig[js] == sig[i], axis=1) >= need]
+                out += [(node[i], node[j]) for j in js.tolist() if forest.join(i, j)]
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _exact(percent: int):
+    """Links between components in a pair of blocks, as many as join what can be joined."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _groups(batches, _PAIR, 2_000):
+            out = []
+            for lo, hi in _bounds(rows, _PAIR):
+                g = rows.iloc[lo:hi]
+                first, second = g["first"].iloc[0], g["second"].iloc[0]
+                node, label, block = (g[c].to_numpy() for c in ("node", "label", "block"))
+                sets = [np.frombuffer(w, _U64) for w in g["words"]]
+                size = np.array([len(s) for s in sets])
+                _, words = np.unique(np.concatenate(sets), return_inverse=True)
+                at = np.cumsum(size) - size
+                owner = np.repeat(np.arange(len(sets)), size)
+                keep = np.flatnonzero(block[owner] == second)
+                order = keep[np.argsort(words[keep], kind="stable")]
+                holders, heads = owner[order], np.searchsorted(words[order], np.arange(words.max(initial=-1) + 2))
+                forest = _Forest()
+                for i in np.flatnonzero(block == first).tolist():
+                    mine = words[at[i] : at[i] + size[i]]
+                    lens = heads[mine + 1] - heads[mine]
+                    place = np.repeat(heads[mine] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+                    both = np.bincount(holders[place], minlength=len(sets))
+                    js = np.flatnonzero((100 * both >= percent * (size + size[i] - both)) & (label != label[i]) & (block == second))
+                    out += [(node[i], node[j]) for j in js.tolist() if forest.join(label[i], label[j])]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
 
-def _every(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of a pair of blocks that may be links between components."""
-    first, second = key[1], key[2]
-    block = rows["block"].to_numpy()
-    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-    node = rows["node"].to_numpy()
-    found = [(node[i], node[j]) for i, j, _ in _agreeing(rows, left, right)]
-    if not found:
-        return pd.DataFrame({"a": [], "b": []})
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+def _in_blocks(rows: DataFrame, blocks) -> DataFrame:
+    """Rows of each key dealt to all pairs of its blocks, as streams of whole groups."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")).drop("other")
+    return dealt.repartition(*_PAIR).sortWithinPartitions(*_PAIR)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -220,42 +277,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     fits = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
     star = shared.where((F.col("node") != F.col("pivot.node")) & fits).select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct()
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs that are links. Sets are made anew from the texts of the nodes in pairs, one row each."""
-        pairs = written(pairs, "minhash-pairs")
-        needed = pairs.select(F.col("a").alias("need")).union(pairs.select("b")).distinct()
-        ids = banded.join(needed, F.col("node") == F.col("need")).select("node", "id")
+    def sets_for(wanted: DataFrame) -> DataFrame:
+        """node, words: the sets of the nodes wanted, made anew from the text of one document of each."""
+        ids = banded.join(wanted.select(F.col("node").alias("need")), F.col("node") == F.col("need")).select("node", "id")
         texts = rows.join(ids.select(F.col("id").alias("pick"), F.col("node").alias("wanted")), F.col("id") == F.col("pick")).select("text", "wanted")
         made = texts.mapInPandas(_sets(width), "node long, wanted long, words binary").where("node = wanted").dropDuplicates(["node"])
-        made = written(made.select("node", "words"), "minhash-sets")
-        one = pairs.join(made.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
-        two = one.join(made.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
-        return written(two.select("a", "b", "wa", "wb").mapInPandas(_confirm(percent), "a long, b long"), "minhash-links")
+        return written(made.select("node", "words"), "minhash-sets")
 
-    links = confirmed(star)
+    pairs = written(star, "minhash-pairs")
+    made = sets_for(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    one = pairs.join(made.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
+    two = one.join(made.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
+    links = written(two.select("a", "b", "wa", "wb").mapInPandas(_confirm(percent), "a long, b long"), "minhash-links")
     labels = components(links)
+
+    # Buckets that hold several components still.
+    labelled = shared.join(labels.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("count")).where("lo <> hi")
     sigs = nodes.groupBy("node").agg(F.first("sig").alias("sig"))
-    for step in ("forest", "every"):
-        named = shared.join(labels.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("count")).where("lo <> hi")
-        open_ = named.join(mixed.select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")), "key")
-        open_ = open_.join(sigs, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        if step == "forest":
-            pairs = open_.groupBy("key", "block").applyInPandas(_forest, "a long, b long")
-        else:
-            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-            dealt = open_.select("*", other).withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
-            pairs = dealt.groupBy("key", "first", "second").applyInPandas(_every, "a long, b long")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        tested = star if step == "forest" else star.union(tried)
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        tried = written(pairs, "minhash-tried")
-        if tried.isEmpty():
-            break
-        more = confirmed(tried)
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
+    left = labelled.join(mixed.select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")), "key").join(sigs, "node")
+    maybe = written(_in_blocks(left, F.col("blocks")).mapInPandas(_open, "a long, b long").distinct(), "minhash-maybe")
+    if not maybe.isEmpty():
+        clusters = components(maybe).withColumnRenamed("label", "key")
+        many = clusters.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        named = clusters.join(labels.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        full = named.join(many, "key").join(sets_for(clusters.select("node")), "node")
+        more = _in_blocks(full, F.col("blocks")).mapInPandas(_exact(percent), "a long, b long")
+        links = links.union(written(more, "minhash-links"))
+        labels = components(links)
     named = sketch.select("id", "n", "node").join(labels.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("id", "n", F.coalesce("label", "node").alias("label"))
     named = written(named, "minhash-named")
     least = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("id").alias("least")).withColumnRenamed("label", "of")
