@@ -2,7 +2,7 @@
 
 Strong parts (assignments, access identifiers, long hexadecimal runs) are reported by themselves. Weak parts, that is user names,
 bare 40-character keys and endpoints, are reported only when a complementary part lies within ``scope`` code points in
-the same text: an identifier needs a secret, a secret an identifier, an endpoint either. The join of intervals is a sweep: parts of a
+the same text: an identifier or an endpoint needs a secret, a secret an identifier. The join of intervals is a sweep: parts of a
 text sorted by start, each looking at the furthest end before it and the nearest start after it for each role. No pairs are
 made, so the work is linear (and a sort) in the number of parts.
 
@@ -69,7 +69,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
         return F.coalesce(F.max(F.when(test, F.col("end"))).over(ahead) + within > F.col("start"), F.lit(False)) | F.coalesce(F.min(F.when(test, F.col("start"))).over(after) - within < F.col("end"), F.lit(False))
 
     role = F.col("role")
-    linked = F.when(role == "id", near(role == "secret", scope + 1)).when(role == "secret", near(role == "id", scope + 1)).otherwise(near(role.isin("id", "secret"), scope + 1))
+    linked = F.when(role == "id", near(role == "secret", scope + 1)).when(role == "secret", near(role == "id", scope + 1)).otherwise(near(role == "secret", scope + 1))
     judged = every.withColumn("overlaps", near(F.col("strong"), 0)).withColumn("linked", linked)
     span = F.struct("start", "order", "kind", "end")
     told = F.col("kind").isNotNull() & (F.col("strong") | F.col("linked") & ~F.col("overlaps"))

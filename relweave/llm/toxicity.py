@@ -145,7 +145,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     by_feature = given | {f: i for i, f in enumerate(found, len(LEXICONS))}
     model = Model(by_feature, list(PATTERNS.values()), len(LEXICONS) + len(found) + len(PATTERNS), np.zeros(0))
     if not enough:
-        model.weights = np.append(np.zeros(model.n), [5.0, -4.0])
+        model.weights = np.append(np.zeros(model.n), [5.0, -3.0])
         return model
     x = model.votes(texts)
     p = label_model(x[:, :-1], toxic)
