@@ -73,13 +73,13 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Per document its fingerprint, that of its text with the last quarter taken from the next document's beginning, and the
     likeness of its fingerprint to that one and to the next document's."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.length(text).cast("long").alias("n_chars")).withColumn("fingerprint", fingerprint(F.col("text")))
-    # Each text is dealt by its id once; both joins use that exchange.
+    # Each text is dealt by its id once; both joins use that exchange, so both must need the same columns of it.
+    base = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     pairs = next_ids(docs, id_col)
     sizes = docs.select(F.col(id_col).alias("sid"), F.floor(F.length(text) / 4).cast("int").alias("need")).groupBy("sid").agg(F.max("need").alias("need"))
     pairs = pairs.join(sizes, F.col("id").eqNullSafe(F.col("sid"))).select(F.col("id").alias("of"), "next_id", "need")
-    following = base.join(pairs, F.col("id").eqNullSafe(F.col("next_id"))).groupBy("of").agg(F.min(F.struct(F.substring("text", F.lit(1), F.col("need")).alias("prefix"), F.col("fingerprint").alias("print"))).alias("next"))
-    joined = base.join(following, F.col("id").eqNullSafe(F.col("of")))
+    following = base.join(pairs, F.col("id").eqNullSafe(F.col("next_id"))).groupBy("of").agg(F.min(F.struct(F.substring("text", F.lit(1), F.col("need")).alias("prefix"), fingerprint(F.col("text")).alias("print"))).alias("next"))
+    joined = base.join(following, F.col("id").eqNullSafe(F.col("of"))).withColumn("n_chars", F.length("text").cast("long")).withColumn("fingerprint", fingerprint(F.col("text")))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring("next.prefix", F.lit(1), quarter))
     out = joined.select(F.col("id").alias(id_col), "n_chars", "fingerprint", edited.alias("edited"), F.col("next.print").alias("next_print"))
