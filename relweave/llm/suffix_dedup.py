@@ -34,7 +34,9 @@ from relweave.llm.common import written
 
 DEPTH, GRAM = 50, 16
 #: Bytes of text in a block, and of all text for each bucket of keys.
-BLOCK, PER_BUCKET = 4_000_000, 12_000_000
+BLOCK, PER_BUCKET = 8_000_000, 12_000_000
+#: Positions that are hashed at a time.
+CHUNK = 1 << 18
 LAST = np.iinfo(np.int64).max
 _U = np.uint64
 
@@ -58,6 +60,33 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return _mix(w[:-8] * _U(0x9E3779B97F4A7C15) + (w[8:] ^ _U(0xD6E8FEB86659FD93)) * _U(0xC2B2AE3D27D4EB4F)) if len(w) > 8 else np.empty(0, _U)
 
 
+def _window_keys(data: np.ndarray) -> np.ndarray:
+    """For each window of DEPTH bytes the least hash of its grams."""
+    h, width = _gram_hashes(data), 1
+    while 2 * width <= DEPTH - GRAM + 1:
+        h = np.minimum(h[:-width], h[width:])
+        width *= 2
+    rest = DEPTH - GRAM + 1 - width
+    return np.minimum(h[: len(h) - rest], h[rest:])
+
+
+def _text_keys(texts: list[bytes]) -> np.ndarray:
+    """The least hash of each text's grams: its windows' key."""
+    out, some, size = [], [], 0
+    for i, t in enumerate(texts, 1):
+        some.append(t)
+        size += len(t)
+        if size > CHUNK or i == len(texts):
+            h = _gram_hashes(np.frombuffer(b"".join(some), np.uint8))
+            lengths = np.array([len(x) for x in some], np.int64)
+            begin = np.cumsum(lengths) - lengths
+            crossing = (begin[1:, None] - np.arange(1, GRAM)).ravel()
+            h[crossing[crossing < len(h)]] = np.iinfo(_U).max
+            out.append(np.minimum.reduceat(h, begin))
+            some, size = [], 0
+    return np.concatenate(out) if out else np.empty(0, _U)
+
+
 def _zip(x: bytes) -> bytes:
     import zstandard
 
@@ -88,29 +117,7 @@ class Block:
         self.raw = _unzip(text)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        h = _gram_hashes(np.frombuffer(self.raw, np.uint8))
-        long = np.flatnonzero(self.sizes >= DEPTH)
-        if not len(long):
-            self.first = self.stop = self.doc = np.empty(0, np.int64)
-            self.key = np.empty(0, _U)
-        else:
-            n, width = len(self.raw) - DEPTH + 1, 1
-            while 2 * width <= DEPTH - GRAM + 1:
-                h = np.minimum(h[:-width], h[width:])
-                width *= 2
-            low = np.minimum(h[:n], h[DEPTH - GRAM + 1 - width :][:n])
-            begins = np.zeros(n + 1, bool)
-            begins[1:n] = low[1:] != low[:-1]
-            opens, closes = self.starts[long], self.ends[long] - DEPTH + 1
-            inside = np.zeros(n + 1, np.int8)
-            inside[opens] += 1
-            inside[closes] -= 1  # a place where one document closes is never one where another opens: 49 bytes lie between
-            begins &= np.cumsum(inside, dtype=np.int8) > 0
-            begins[opens] = True
-            self.first = np.flatnonzero(begins)
-            self.doc = long[np.searchsorted(opens, self.first, "right") - 1]
-            self.stop = np.minimum(np.append(self.first[1:], n), self.ends[self.doc] - DEPTH + 1)
-            self.key = _mix(low[self.first].copy())
+        self._runs(np.frombuffer(self.raw, np.uint8), np.flatnonzero(self.sizes >= DEPTH))
         # Distinct keys by bucket and value.
         bucket = (self.key % _U(buckets)).astype(np.int64)
         order = np.lexsort((self.key, bucket))
@@ -124,6 +131,23 @@ class Block:
         docs = self.ids[self.doc[order]]
         self.several = np.minimum.reduceat(docs, heads) != np.maximum.reduceat(docs, heads) if len(heads) else np.empty(0, bool)
 
+    def _runs(self, data: np.ndarray, long: np.ndarray) -> None:
+        opens, closes = self.starts[long], self.ends[long] - DEPTH + 1
+        first, keys = [np.empty(0, np.int64)], [np.empty(0, _U)]
+        for lo in range(0, max(0, len(data) - DEPTH + 1) if len(long) else 0, CHUNK):
+            back = max(0, lo - 1)
+            low = _window_keys(data[back : lo + CHUNK + DEPTH - 1])
+            at = back + 1 + np.flatnonzero(low[1:] != low[:-1])
+            doc = np.searchsorted(opens, at, "right") - 1
+            at = at[(doc >= 0) & (at < closes[doc])]
+            at = np.union1d(at, opens[(opens >= lo) & (opens < lo + CHUNK)])
+            first.append(at)
+            keys.append(low[at - back])
+        self.first, self.key = np.concatenate(first), _mix(np.concatenate(keys))
+        doc = np.searchsorted(opens, self.first, "right") - 1
+        self.doc = long[doc] if len(doc) else doc
+        self.stop = np.minimum(np.append(self.first[1:], len(data))[: len(doc)], self.ends[self.doc] - DEPTH + 1) if len(doc) else doc
+
     def by_bucket(self) -> Iterator[tuple[int, int, int]]:
         """Bucket and its range of distinct keys."""
         edges = np.flatnonzero(np.append(True, self.bucket_of[1:] != self.bucket_of[:-1])) if len(self.bucket_of) else []
@@ -271,12 +295,7 @@ def _answers(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     docs = np.array(docs, np.int64)
     # Keys with one text need no refinement: each window's least document is the text's.
     sizes = np.array([len(t) for t in texts], np.int64)
-    h = _gram_hashes(np.frombuffer(b"".join(texts), np.uint8))
-    begin = np.cumsum(sizes) - sizes
-    crossing = (begin[1:, None] - np.arange(1, GRAM)).ravel()
-    h[crossing[crossing < len(h)]] = np.iinfo(_U).max
-    keys = np.minimum.reduceat(h, begin)
-    del h
+    keys = _text_keys(texts)
     _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
     many = np.flatnonzero(counts[inverse] > 1)
     refined, lo = {}, 0
@@ -350,11 +369,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PER_BUCKET + 1)
-    part = blocks.select("block", "ids", "sizes", "text").repartition(max(1, min(n, total // BLOCK + 1)), "block")
-    keys = part.mapInPandas(_keys(n), "bucket long, block long, keys binary, several binary")
+    blocks = blocks.select("block", "ids", "sizes", "text")
+    keys = blocks.mapInPandas(_keys(n), "bucket long, block long, keys binary, several binary")
     masks = written(keys.groupBy("bucket").applyInPandas(_shared, "block long, bucket long, mask binary"), "suffix-masks")
     by_block = masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))  # a bit per key of one block
-    marked = part.join(by_block, "block", "left")
+    marked = blocks.join(by_block, "block", "left")
     texts = marked.mapInPandas(_texts(n), "bucket long, block long, sizes binary, least binary, most binary, texts binary")
     answers = written(texts.groupBy("bucket").applyInPandas(_answers, "block long, bucket long, which binary, counts binary, lens binary, vals binary"), "suffix-answers")
     told = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "which", "counts", "lens", "vals")).alias("answers"))  # of one block's texts
