@@ -195,3 +195,17 @@ def digests(segs: DataFrame, key: str = "conv_id") -> DataFrame:
     columns = [key, *(c.split()[0] for c in DIGEST.split(", "))]
     dealt = segs.select(key, "turn", "role", "text", "segment", "loss_start", "loss_length").repartition(key).sortWithinPartitions(key, "turn", "role", "text")
     return dealt.select(key, "segment", "loss_start", "loss_length").mapInPandas(run, f"{key} {kind}, {DIGEST}")
+
+
+def oracle(control: str) -> str:
+    """The digests' rows in DuckDB's SQL, for turn rows in ``conversations`` and the conversation -1 of ``control``."""
+    escaped = lambda x: f"regexp_replace({x}, '<(\\\\*)\\|', '<\\1\\\\|', 'g')"
+    return f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{control}' UNION ALL SELECT -1, 1, 'assistant', '{control}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(START) + len(END) + 2} + length({escaped("role")}) + length({escaped("text")})) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""

@@ -310,3 +310,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     least = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("id").alias("least")).withColumnRenamed("label", "of")
     out = named.join(least, F.col("label") == F.col("of"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
+
+
+def oracle(percent: int = 80) -> str:
+    """The rows for shingles of two words in DuckDB's SQL, by counting common shingles of all pairs."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({lower}, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM words),
+shingles AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y WHERE 100 * n >= {percent} * (len(a.s) + len(b.s) - n)),
+two_way AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, t.y FROM reach r JOIN two_way t ON r.y = t.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON doc_id = x"""

@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.oracle()}
+    return {"op1_chat_formatting": chat.oracle(CONTROL), "op2_line_dedup": lines.oracle(), "op7_minhash": minhash.oracle()}
