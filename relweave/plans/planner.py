@@ -21,6 +21,7 @@ from relweave.functions.aggregates import Agg, aggregate_column, having_column
 from relweave.functions.filters import all_of, any_of, tokens_of
 from relweave.functions.refs import Literal, direction, split_token
 from relweave.plans.tree import PRESENT, Node, Tree
+from relweave.streaming import check_streamable
 
 BARRIER = "top_n_per"
 
@@ -136,8 +137,10 @@ class Planner:
         """The last stage before projection, its operations, and the preloads."""
         preloads = [op for op in self.query.ops if op.kind == "preload"]
         stages = self.stages([op for op in self.query.ops if op.kind != "preload"])
-        df = prefixed(source(self.query, self.spark), "/")
-        stage = None
+        rows = source(self.query, self.spark)
+        if rows.isStreaming:
+            check_streamable(self.query)
+        df, stage = prefixed(rows, "/"), None
         for i, ops in enumerate(stages):
             stage = self.stage(df, ops, preloads if i == len(stages) - 1 else [])
             if ops and ops[-1].kind == BARRIER:

@@ -1,13 +1,13 @@
 """Streams. The engine keeps no state of its own: a schema's source may be a streaming DataFrame, and queries made of filters,
-to-one joins with static tables and projections compile to streaming plans unchanged. Ranking, DISTINCT ON, global order,
-limits and pages need all rows and are for batches only."""
+joins with static tables, grouping and projections compile to streaming plans unchanged. Ranking, DISTINCT ON, global order,
+limits, EXISTS filters, preloads and pages need all rows and are for batches only."""
 
 from __future__ import annotations
 
 from relweave.errors import QueryError
 
 #: Operations that a stream can take.
-STREAMABLE = frozenset({"where", "where_any", "select", "join", "preload_none"})
+STREAMABLE = frozenset({"where", "select", "select_merge", "join", "group_by", "having"})
 
 
 def check_streamable(query) -> None:

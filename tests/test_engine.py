@@ -286,3 +286,16 @@ def test_nothing_runs_early(db, spark):
     db.query("users").inner_join("role").group_by("name@role").select({"r": "name@role", "n": count()}).order_by([("asc", "name@role")]).to_df()
     assert not list(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
     spark.sparkContext.setJobGroup("", "")
+
+
+def test_streams(db, spark, tmp_path):
+    users = db["users"].source
+    users.write.parquet(str(tmp_path / "users"))
+    stream = spark.readStream.schema(users.schema).parquet(str(tmp_path / "users"))
+    q = db.wrap("users", stream).inner_join("role").where([("deleted", False), ("name@role", "author")])
+    run = q.select({"name": "name", "role": "name@role"}).to_df().writeStream.format("memory").queryName("found").start()
+    run.processAllAvailable()
+    run.stop()
+    assert sorted(r["name"] for r in spark.sql("SELECT name FROM found").collect()) == ["Alice", "Bob", "Charlie"]
+    with pytest.raises(QueryError, match="not for streams"):
+        q.order_by([("asc", "id")]).to_df()
