@@ -140,7 +140,10 @@ class Block:
             at = back + 1 + np.flatnonzero(low[1:] != low[:-1])
             doc = np.searchsorted(opens, at, "right") - 1
             at = at[(doc >= 0) & (at < closes[doc])]
-            at = np.union1d(at, opens[(opens >= lo) & (opens < lo + CHUNK)])
+            own = opens[np.searchsorted(opens, lo) : np.searchsorted(opens, lo + CHUNK)]
+            if len(at):
+                own = own[at[np.minimum(np.searchsorted(at, own), len(at) - 1)] != own]
+            at = np.insert(at, np.searchsorted(at, own), own)
             first.append(at)
             keys.append(low[at - back])
         self.first, self.key = np.concatenate(first), _mix(np.concatenate(keys))
@@ -256,7 +259,7 @@ def refine(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
 
     def buckets(x: np.ndarray) -> np.ndarray:
         """Ranks of numbers, equal for equal ones."""
-        order = np.argsort(x, kind="stable")
+        order = np.argsort(x)
         s = x[order]
         new = np.ones(len(s), bool)
         new[1:] = s[1:] != s[:-1]
@@ -320,11 +323,11 @@ def _answers(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
                     lens.append([sizes[t] - DEPTH + 1])
                     vals.append([docs[t]])
             elif (w < m).any():
-                heads = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+                edges = [0, *(np.flatnonzero(w[1:] != w[:-1]) + 1).tolist(), len(w)]
                 which.append(i)
-                counts_.append(len(heads))
-                lens.append(np.diff(np.append(heads, len(w))))
-                vals.append(w[heads])
+                counts_.append(len(edges) - 1)
+                lens.append([hi - lo for lo, hi in zip(edges[:-1], edges[1:], strict=True)])
+                vals.append(w[edges[:-1]])
         if which:
             out.append((block, key[0], _planes(np.array(which, np.uint32)), _planes(np.array(counts_, np.uint32)), _planes(np.concatenate(lens).astype(np.uint32)), _planes(np.concatenate(vals).astype(np.int64))))
     return pd.DataFrame(out, columns=["block", "bucket", "which", "counts", "lens", "vals"])
@@ -337,20 +340,29 @@ def _remove(buckets: int):
                 x = Block(r.ids, r.sizes, r.text, buckets)
                 gone = np.zeros(len(x.raw) + 1, np.int32)
                 found = x.shared_texts(r.masks if r.masks is not None else []) if r.answers is not None else {}
+                whole, least = [], []  # runs all of whose windows have one least document
                 for a in r.answers if r.answers is not None else []:
                     where = found[a["bucket"]][3]
                     at = 0
                     lens, vals = _from_planes(a["lens"], np.uint32).astype(np.int64).tolist(), _from_planes(a["vals"], np.int64).tolist()
                     for i, n in zip(_from_planes(a["which"], np.uint32).tolist(), _from_planes(a["counts"], np.uint32).tolist(), strict=True):
-                        for run_ in where[i]:
-                            own, lo = x.ids[x.doc[run_]], int(x.first[run_])
-                            for k in range(at, at + n):
-                                if vals[k] < own:
-                                    gone[lo] += 1
-                                    gone[lo + lens[k] + DEPTH - 1] -= 1
-                                lo += lens[k]
+                        if n == 1:
+                            whole += where[i]
+                            least += [vals[at]] * len(where[i])
+                        else:
+                            for run_ in where[i]:
+                                own, lo = x.ids[x.doc[run_]], int(x.first[run_])
+                                for k in range(at, at + n):
+                                    if vals[k] < own:
+                                        gone[lo] += 1
+                                        gone[lo + lens[k] + DEPTH - 1] -= 1
+                                    lo += lens[k]
                         at += n
-                lost = np.cumsum(gone[:-1]) > 0
+                whole = np.array(whole, np.int64)
+                whole = whole[np.array(least, np.int64) < x.ids[x.doc[whole]]] if len(whole) else whole
+                np.add.at(gone, x.first[whole], 1)
+                np.subtract.at(gone, x.stop[whole] + DEPTH - 1, 1)
+                lost = np.cumsum(gone, out=gone)[:-1] > 0
                 raw = np.frombuffer(x.raw, np.uint8)
                 some, size = [], 0
                 for d, (lo, hi) in enumerate(zip(x.starts.tolist(), x.ends.tolist(), strict=True)):
