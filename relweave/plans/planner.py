@@ -185,8 +185,13 @@ class Planner:
         stage = Stage(tree, self.joins(df, tree))
         for op in ops:
             if op.kind == "where":
-                if (c := any_of(op.data["groups"], stage.resolve, stage.cast)) is not None:
+                given = [g for g in op.data["groups"] if g]
+                absent = [e for e in given[0] if self.is_not_in(e)] if len(given) == 1 else []
+                given = [[e for e in given[0] if not self.is_not_in(e)]] if absent else given
+                if (c := any_of(given, stage.resolve, stage.cast)) is not None:
                     stage.df = stage.df.where(c)
+                for e in absent:
+                    stage.df = self.not_in(stage, e)
             elif op.kind == "exists":
                 stage.df = self.exists(stage.df, op)
         self.group(stage, ops)
@@ -194,6 +199,24 @@ class Planner:
             self.top_n(stage, ops)
         return stage
 
+    @staticmethod
+    def is_not_in(e: Any) -> bool:
+        from relweave.operators.query import Query
+
+        return isinstance(e, tuple) and len(e) == 3 and e[1] == "not_in" and isinstance(e[2], Query)
+
+    def not_in(self, stage: Stage, e: tuple) -> DataFrame:
+        """NOT IN a subquery as an anti join on equal keys and one scalar about nulls: the optimiser's own null-aware join would
+        broadcast the subquery whatever its size."""
+        found = e[2].to_df(self.spark)
+        if len(found.columns) != 1:
+            raise BuildError(f"not_in: a subquery must select one field, this one has {len(found.columns)}")
+        found, left = found.toDF("#in"), stage.resolve(e[0])
+        nulls = F.count_if(col("#in").isNull())
+        state = found.agg(F.when(F.count("*") == 0, "empty").when(nulls == 0, "whole").otherwise("nulls").alias("state")).scalar()
+        rest = stage.df.join(found, left == col("#in"), "left_anti")
+        return rest.where((state == "empty") | (state == "whole") & left.isNotNull())
+
     # Grouping
 
     def group(self, stage: Stage, ops: list) -> None:

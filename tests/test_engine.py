@@ -58,6 +58,11 @@ def test_subqueries(db):
     assert db.query("users").where([], [("name", "Eric")], or_=[[("id", "in", ids)]]).to_df().count() == 4
     with_null = db.query("users").select("email")
     assert db.query("users").where(("email", "not_in", with_null)).to_df().count() == 0
+    nobody = db.query("users").where(("id", 0)).select("email")
+    assert db.query("users").where(("email", "not_in", nobody)).to_df().count() == 9
+    known = db.query("users").where([("email", "ne", None), ("id", "lt", 200)]).select("email")
+    some = db.query("users").where(("email", "not_in", known))
+    assert some.to_df().count() == 5 and "BroadcastNestedLoop" not in plan(some.to_df())
     with pytest.raises(BuildError, match="one field"):
         db.query("users").where(("id", "in", db.query("users").select(["id", "name"]))).to_df()
 
