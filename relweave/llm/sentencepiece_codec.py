@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -22,12 +23,12 @@ from pyspark.sql import types as T
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: A worker hands back results of about so many characters at a time, and its table holds so many chunks.
-PIECE_CHARS, TABLE = 1_000_000, 120_000
+PIECE_CHARS, TABLE = 1_000_000, 240_000
 RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
 
 
 class ChunkCodec:
-    """Encodes and decodes whole texts by distinct chunks. ``most``: entries that the table may hold before it is emptied."""
+    """Encodes and decodes whole texts by distinct chunks. ``most``: entries that the table may hold before half of it is forgotten."""
 
     def __init__(self, model: bytes, most: int = TABLE):
         import sentencepiece
@@ -53,6 +54,13 @@ class ChunkCodec:
         self.start = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.int32)
 
+    def forget(self) -> None:
+        """Keeps the half of the table that was learnt first, which has most of the frequent chunks."""
+        half = min(self.most // 2, len(self.text))
+        self.table = dict(islice(self.table.items(), half))
+        self.text, self.start = self.text[:half], self.start[: half + 1]
+        self.flat = self.flat[: self.start[-1]]
+
     def learn(self, chunks: list[str]) -> None:
         """Adds the chunks that the table lacks, segmented in one call: the text made of them is cut where chunks begin."""
         known = self.table
@@ -60,8 +68,8 @@ class ChunkCodec:
         if not new:
             return
         if known and len(known) + len(new) > self.most:
-            self.clear()
-            new = list(dict.fromkeys(chunks))
+            self.forget()
+            new = [c for c in dict.fromkeys(chunks) if c not in self.table]
         bare = [c for c in new if not c or c[-1] == MARK]  # marks alone would run into the next chunk
         new = [c for c in new if c and c[-1] != MARK]
         parts = [self.segment([c]) for c in bare] + ([self.segment(new)] if new else [])
