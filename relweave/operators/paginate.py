@@ -98,6 +98,11 @@ def effective_order(query) -> list[tuple[str, str]]:
     return [(d, t) for t, d in out.items()]
 
 
+def _order_assocs(query) -> list:
+    """The associations that the query's orders name; they stay when a page's order takes their place."""
+    return [op.assocs for op in query.ops if op.kind == "order_by" and op.assocs]
+
+
 def keyset(order: list[tuple[str, str]], values: dict[str, Any]):
     """Rows after the cursor: OR over positions of equality before and beyond there."""
 
@@ -182,7 +187,7 @@ def paginate_cursor(query, spark: SparkSession | None = None, *, page_size: int
             raise BuildError("the cursor belongs to another order")
         kinds = {t: stage.df.schema[stage.tree.find(t)[0].column(stage.tree.find(t)[1])].dataType for _, t in order}
         paged = paged.where(keyset(travel, {t: _typed(v, kinds[t]) for t, v in values.items()}))
-    paged = paged.order_by(travel)
+    paged = paged.order_by(_order_assocs(query), travel)
     strategy, pk = _strategy(query, stage, order), query.schema.primary_key
     names = {f"#c{i}": t for i, (_, t) in enumerate(order)}
     rows = _rows(paged, spark, names | {f"#k{i}": k for i, k in enumerate(pk)}, strategy == "keys_first", n + 1)
@@ -209,7 +214,7 @@ def paginate_offset(query, spark: SparkSession | None = None, *, page_size: int
     _check(query)
     order, pk, stage = effective_order(query), query.schema.primary_key, _tree(query, spark)
     skip = ([op.data["n"] for op in query.ops if op.kind == "offset"] or [0])[-1]
-    paged = replace(query, ops=tuple(op for op in query.ops if op.kind not in ("order_by", "offset"))).order_by(order)
+    paged = replace(query, ops=tuple(op for op in query.ops if op.kind not in ("order_by", "offset"))).order_by(_order_assocs(query), order)
     single = not any(x.many for x in stage.tree.nodes()) and not any(op.kind == "preload" and op.data["how"] == "through_join" for op in query.ops)
     names = {f"#c{i}": t for i, (_, t) in enumerate(order)}
     rows = _rows(paged, spark, names | {f"#k{i}": k for i, k in enumerate(pk)}, not single, n + 1, skip)
