@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from relweave.llm.common import WORD
 
-#: Production limits. A repeat counts from so many words on; the covered share of the words; the longest repeat's share and words.
-MIN_WORDS, MAX_COVERED, MAX_LONGEST, LONGEST_FROM = 10, 0.25, 0.15, 50
+#: Production limits. A repeat counts from so many words on, below the windows of 8 of the base rule; the covered share of the
+#: words; the longest repeat's share and words. Two copies of the longest may cover less than the covered share allows.
+MIN_WORDS, MAX_COVERED, MAX_LONGEST, LONGEST_FROM = 5, 0.25, 0.10, 50
 BATCH_WORDS = 400_000
 SYMBOLS = "#*$%&|<>"
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, base_failed boolean, kept boolean"

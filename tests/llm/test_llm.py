@@ -177,6 +177,16 @@ def test_quality(docs, by_id):
     assert quality.quality(empty(docs)).count() == 0
 
 
+def test_quality_verdict(spark):
+    prose = lambda n, at=0: " ".join(f"w{i}" for i in range(at, at + n))
+    runs = " ".join(f"x{i}" for i in range(8) for _ in range(8))  # repeats of 7 words at most, as in document 9592
+    twice = f"{prose(50)} {prose(380, 100)} {prose(50)}"  # 50 of 480 words stand twice: 21 % covered
+    clean = f"{prose(49)} {prose(400, 100)} {prose(49)}"
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame([(1, runs), (2, twice), (3, clean), (4, prose(100))], "doc_id long, text string")).select("doc_id", "quality.*").collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i: (r["kept"], r["longest_repeat"]) for i, r in got.items()} == {1: (False, 7), 2: (False, 50), 3: (True, 49), 4: (True, 0)}
+
+
 def test_suffix_array():
     r = random.Random(1)
     for _ in range(60):
