@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from relweave.llm.common import WORD_PATTERN
 
-#: Production limits: the boilerplate ratio, and the pages that must have the line.
-MAX_RATIO, MIN_PAGES = 0.1, 3
+#: Production limits: the boilerplate ratio, and the pages that must have the line. A source mixes many sites, so a site's
+#: boilerplate is a small share of it; the page minimum guards small hosts.
+MAX_RATIO, MIN_PAGES = 0.01, 3
 
 
 def _lines(text: Column) -> Column:

@@ -83,6 +83,14 @@ def test_line_dedup(docs, spark, by_id):
     assert any(r["__n_dropped"] for r in out) and lines.line_dedup(empty(docs)).count() == 0
 
 
+def test_line_dedup_coarse_source(spark):
+    # One source of 40 sites with 10 pages each; each site has a line of its own on all its pages, 2.5 % of the source.
+    rows = [(i, "one", f"page w{i}\nsite {i % 40}\nseen {min(i, 3)}" if i < 5 else f"page w{i}\nsite {i % 40}") for i in range(400)]
+    out = lines.line_dedup(spark.createDataFrame([*rows, (400, "small", "a\nb"), (401, "small", "a\nc")], "doc_id long, source string, text string")).collect()
+    got = {r["doc_id"]: r["text"] for r in out}
+    assert all(got[i] == t.replace(f"\nsite {i % 40}", "") for i, _, t in rows) and got[400] == "a\nb" and got[401] == "a\nc"
+
+
 @pytest.mark.parametrize("alphabet", ["ab", "abcdefghij"])
 def test_refinement(alphabet):
     r = random.Random(len(alphabet))
