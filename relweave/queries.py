@@ -387,6 +387,58 @@ def top_n_per_composite_key(db):
     return db.query("conversations").top_n_per(partition_by="role", order_by=[("desc", lambda r: F.length(r("text"))), ("asc", "conv_id"), ("asc", "turn")], n=5).select(["conv_id", "turn"])
 
 
+# The operators that stand above over one nation or a few, over the whole tables.
+
+
+@query("SELECT c.c_custkey, e.event_id FROM customer c LEFT JOIN events e ON e.user_id = c.c_custkey AND (e.event_type = 'error' OR e.value > 90)")
+def join_left_on_all(db):
+    return db.query("customer").left_join("events", [("event_type@events", "error")], or_=[[("value@events", "gt", 90)]]).select({"c_custkey": "c_custkey", "event_id": "event_id@events"})
+
+
+@query("SELECT n.n_name, c.c_custkey, e.event_id FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN events e ON e.user_id = c.c_custkey AND e.event_type = 'view'")
+def join_left_leaf_all(db):
+    return db.query("nation").left_join_leaf({"customers": "events"}, [("event_type@events", "view")]).select({"n_name": "n_name", "c_custkey": "c_custkey@customers", "event_id": "event_id@events"})
+
+
+@query("SELECT c.c_custkey, o.o_orderkey, l.l_quantity FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_quantity > 48")
+def join_left_path_all(db):
+    return db.query("customer").left_join_path({"orders": "lineitems"}, [("l_quantity@lineitems", "gt", 48)]).select({"c_custkey": "c_custkey", "o_orderkey": "o_orderkey@orders", "l_quantity": "l_quantity@lineitems"})
+
+
+@query("SELECT c_custkey AS _1, c_name AS _2, 7 AS _3, 'x' AS _4 FROM customer")
+def select_tuple_all(db):
+    return db.query("customer").select(("c_custkey", "c_name", 7, lit_("x")))
+
+
+@query("SELECT c_custkey AS key, upper(c_mktsegment) AS segment, 1 AS one, c_acctbal AS balance FROM customer")
+def select_merge_all(db):
+    return db.query("customer").select({"key": "c_custkey", "segment": lambda r: F.upper(r("c_mktsegment"))}).select_merge({"one": lit_(1)}).select_merge({"balance": "c_acctbal"})
+
+
+@query("SELECT c.c_custkey, c.c_name, c.c_nationkey, c.c_acctbal, c.c_mktsegment, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY ALL")
+def group_by_primary_key_all(db):
+    return db.query("customer").group_by("orders", "c_custkey").select({k: k for k in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")} | {"n": count("o_orderkey@orders")})
+
+
+@query("""SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN LATERAL
+(SELECT * FROM orders x WHERE x.o_custkey = c.c_custkey ORDER BY x.o_totalprice DESC, x.o_orderkey LIMIT 2) o ON true""")
+def left_join_top_n_all(db):
+    q = db.query("customer").left_join_top_n("orders", n=2, order_by=[("desc", "o_totalprice"), ("asc", "o_orderkey")])
+    return lambda spark: q.to_df(spark).select("customer.c_custkey", "orders.o_orderkey")
+
+
+@query("SELECT c.c_custkey, coalesce(string_agg(o.o_orderkey::VARCHAR, ',' ORDER BY o.o_orderkey), '') AS keys FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey")
+def preload_separate_all(db):
+    q = db.query("customer").preload_separate(["orders", "nation"])
+    return lambda spark: _listed(q.to_df(spark), "c_custkey", "orders", "o_orderkey", "keys")
+
+
+@query("SELECT c.c_custkey, coalesce(string_agg(o.o_orderkey::VARCHAR, ',' ORDER BY o.o_totalprice DESC, o.o_orderkey), '') AS keys FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'O' GROUP BY c.c_custkey")
+def preload_separate_scoped_all(db):
+    q = db.query("customer").preload_separate_scoped("orders", where=[("o_orderstatus", "O")], order_by=[("desc", "o_totalprice"), ("asc", "o_orderkey")])
+    return lambda spark: _listed(q.to_df(spark), "c_custkey", "orders", "o_orderkey", "keys")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: run for k, (run, _) in _FOUND.items()}
 

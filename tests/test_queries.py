@@ -37,3 +37,11 @@ def test_pushdown(spark, sf):
     assert "PushedFilters: [IsNotNull(c_mktsegment)" in plan and "c_acctbal" in plan
     read = entry.queries()["flagship"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "o_orderdate" not in read
+
+
+@pytest.mark.parametrize("name", ["join_left_on", "join_left_leaf", "join_left_path", "select_tuple", "select_merge", "group_by_primary_key", "left_join_top_n", "preload_separate", "preload_separate_scoped"])
+def test_whole_tables(name, spark, sf, con):
+    """Beside a query of one nation or a few stands one that gives every customer."""
+    df = entry.queries()[f"{name}_all"](spark, sf)
+    key = next(c for c in ("c_custkey", "key", "_1") if c in df.columns)
+    assert df.select(key).distinct().count() == con.execute("SELECT count(*) FROM customer").fetchone()[0]
