@@ -1,16 +1,18 @@
 """Chat formatting with schema fingerprinting.
 
-A layout is known by the set of nested field paths that a record fills. The paths of a record (``messages[].role``,
-``instruction``, ...) are sorted and hashed; the hash selects a declarative mapping, which says where roles and texts lie. All
-mappings are compiled to one CASE over the hash, so a table may mix layouts. Paths that no mapping names are ignored, so
-extra columns change nothing.
+A layout is known by the nested field paths that a record fills (``messages[].role``, ``instruction``, ...). For each declarative
+mapping, which says where roles and texts lie, those of its own paths that are filled are sorted and hashed; it fits if the hash
+is that of the paths it needs, with any of those it may fill. Of mappings that fit, the first in the order of ``MAPPINGS`` is taken.
+All are compiled to one CASE, so a table may mix layouts. Paths that a mapping doesn't name are ignored, so extra columns change
+nothing, even if another mapping names them.
 
 Each turn becomes ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts and roles, a backslash is put into anything that looks like
 the beginning of a control string (``<|`` becomes ``<\\|``, ``<\\|`` becomes ``<\\\\|`` and so on), which is undone exactly. The
 loss mask is the text of assistant turns, given as start and length in the turn's segment.
 
-Cases: null text and null role are empty strings; a record whose paths match no mapping gives no turns (``layout`` is null);
-turns with equal order are ordered by role, then text; repeated rows are turns of their own; an empty table gives no rows.
+Cases: null text and null role are empty strings; a turn row without a number is a turn after the numbered ones; in a table that
+has no layout but turn rows, a row of nulls is an empty turn; a record whose paths match no mapping gives no turns (``layout`` is
+null); turns with equal order are ordered by role, then text; repeated rows are turns of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,14 +52,20 @@ class Mapping:
 
 #: Other names of roles in message layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
+TURN_ROWS = {"role": "role", "text": "text", "row": "turn"}
+#: In order of precedence: arrays of turns, numbered turns with role or text, single exchanges, then turn rows that lack something.
 MAPPINGS = (
-    Mapping("turn rows", ("turn",), ("role", "text"), role="role", text="text", row="turn"),
     Mapping("messages", ("messages[].role",), ("messages[].content",), array="messages", role="role", text="content", roles=ROLES),
     Mapping("conversations", ("conversations[].from",), ("conversations[].value",), array="conversations", role="from", text="value", roles=ROLES),
+    Mapping("turn rows", ("turn", "role"), ("text",), **TURN_ROWS),
+    Mapping("turn rows", ("turn", "text"), **TURN_ROWS),
     Mapping("instruction", ("instruction", "output"), ("input", "system"), turns=(("system", "system"), ("user", "instruction+input"), ("assistant", "output"))),
     Mapping("prompt and completion", ("prompt", "completion"), ("system",), turns=(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
     Mapping("prompt and response", ("prompt", "response"), ("system",), turns=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Mapping("question and answer", ("question", "answer"), ("context",), turns=(("user", "context+question"), ("assistant", "answer"))),
+    Mapping("turn rows", ("turn",), **TURN_ROWS),
+    Mapping("turn rows", ("role",), ("text",), **TURN_ROWS),
+    Mapping("turn rows", ("text",), **TURN_ROWS),
 )
 
 
@@ -110,17 +118,19 @@ def _turns(df: DataFrame, m: Mapping) -> Column:
 
 def canonical(df: DataFrame, keys: Iterable[str], mappings: Iterable[Mapping] = MAPPINGS) -> DataFrame:
     """One row per turn: the keys, layout, turn, role, text. Records of unknown layout give one row with nulls."""
-    mappings, has = tuple(mappings), set(field_paths(df.schema))
-    fp, turns, layout = record_fingerprint(df, mappings), None, None
-    for m in mappings:
-        if not set(m.needs) <= has:
-            continue
+    has = set(field_paths(df.schema))
+    able = [m for m in mappings if {*m.needs, *filter(None, [m.row])} <= has]
+    which, made, layout = [], [], []
+    for i, m in enumerate(able):
         prints = [fingerprint((*m.needs, *some)) for n in range(len(m.may) + 1) for some in itertools.combinations(m.may, n)]
-        test, made = F.col("__fp").isin(prints), _turns(df, m).cast(f"array<{TURN}>")
-        turns = F.when(test, made) if turns is None else turns.when(test, made)
-        layout = F.when(test, F.lit(m.name)) if layout is None else layout.when(test, F.lit(m.name))
-    turns, layout = (F.lit(None).cast(f"array<{TURN}>"), F.lit(None).cast("string")) if turns is None else (turns, layout)
-    return df.withColumn("__fp", fp).select(*keys, layout.alias("layout"), F.explode_outer(turns).alias("__t")).select(*keys, "layout", "__t.*")
+        which.append(F.when(record_fingerprint(df, [m]).isin(prints), F.lit(i)))
+        made.append(F.when(F.col("__which") == i, _turns(df, m).cast(f"array<{TURN}>")))
+        layout.append(F.when(F.col("__which") == i, F.lit(m.name)))
+    if able and all(m.row for m in able):
+        which.append(F.lit(len(able) - 1))
+    turns = F.coalesce(F.lit(None).cast(f"array<{TURN}>"), *made)
+    chosen = df.withColumn("__which", F.coalesce(F.lit(None).cast("int"), *which))
+    return chosen.select(*keys, F.coalesce(F.lit(None).cast("string"), *layout).alias("layout"), F.explode_outer(turns).alias("__t")).select(*keys, "layout", "__t.*")
 
 
 def escape(text: Column) -> Column:
@@ -193,7 +203,7 @@ def digests(segs: DataFrame, key: str = "conv_id") -> DataFrame:
             yield pd.DataFrame([close()], columns=columns)
 
     columns = [key, *(c.split()[0] for c in DIGEST.split(", "))]
-    dealt = segs.select(key, "turn", "role", "text", "segment", "loss_start", "loss_length").repartition(key).sortWithinPartitions(key, "turn", "role", "text")
+    dealt = segs.select(key, "turn", "role", "text", "segment", "loss_start", "loss_length").repartition(key).sortWithinPartitions(key, F.col("turn").asc_nulls_last(), "role", "text")
     return dealt.select(key, "segment", "loss_start", "loss_length").mapInPandas(run, f"{key} {kind}, {DIGEST}")
 
 

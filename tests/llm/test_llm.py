@@ -70,6 +70,27 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.segments(chat.canonical(df.where("false"), ["conv_id"]), ["conv_id"])).count() == 0
 
 
+def test_chat_turns_without_number(spark):
+    rows = [(1, 0, "user", "q"), (1, None, "assistant", "late"), (1, None, None, "no role"), (2, None, "user", "only"), (2, None, "user", None), (3, None, None, None), (None, None, "assistant", "x"), (4, 1, "user", "b"), (4, 0, "user", "<|a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.digests(chat.segments(chat.canonical(df, ["conv_id"]), ["conv_id"])).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    made = con.execute(chat.oracle("c"))
+    names = [d[0] for d in made.description]
+    assert sorted(repr([r[n] for n in names]) for r in got) == sorted(repr(list(x)) for x in made.fetchall() if x[0] != -1)
+
+
+def test_chat_precedence(spark):
+    raw = ['{"id": 1, "turn": 0, "role": "user", "text": "t", "input": "i", "system": "s"}', '{"id": 2, "messages": [{"role": "user", "content": "hi"}], "prompt": "p", "turn": 7}', '{"id": 3, "prompt": "p", "completion": "c", "input": "i", "text": "t"}', '{"id": 4, "role": "user", "text": "no number"}', '{"id": 5, "input": "i"}']
+    df = spark.read.json(spark.sparkContext.parallelize(raw))
+    got = {}
+    for r in chat.canonical(df, ["id"]).orderBy("id", "turn").collect():
+        got.setdefault(r["id"], (r["layout"], []))[1].append((r["turn"], r["role"], r["text"]))
+    assert got == {1: ("turn rows", [(0, "user", "t")]), 2: ("messages", [(0, "user", "hi")]), 3: ("prompt and completion", [(1, "user", "p"), (2, "assistant", "c")]), 4: ("turn rows", [(None, "user", "no number")]), 5: (None, [(None, None, None)])}
+
+
 def test_line_dedup(docs, spark, by_id):
     many = docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 0, "\nboiler plate\n").otherwise("\n")))
     out = lines.line_dedup(many, "source", max_ratio=0.2).collect()
