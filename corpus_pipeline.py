@@ -41,10 +41,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    plan = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """Each row as often as the mix takes it, whether or not others share its id."""
+    # Written, so that a row has the same key in the plan and in the join.
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-mixing-rows")
+    plan = mixing.mix(keyed, row_col="__row").where("copies > 0").select("__row", F.col("copies").alias("__copies"))
+    return keyed.join(plan, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,12 +88,14 @@ def _pick(g: pd.DataFrame, most: int) -> pd.DataFrame:
     return g.assign(rounds=rounds, extra=fit(g["size"].tolist(), g["n"].tolist(), rest) if rest else 0, source_size=source_size)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, most: int = MAX_REPEATS, seed: int = SEED, size: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, most: int = MAX_REPEATS, seed: int = SEED, size: Column | None = None, row_col: str | None = None) -> DataFrame:
     """One row per document: id, size, source_size, target, copies (how often the mix takes it), taken (copies * size).
 
     The columns are named ``id_col`` and as above, whatever else docs holds. ``size``: another measure than words.
+    ``row_col``: a column that tells rows of one id apart; it is carried along and settles ties of equal ids.
     """
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), (word_count(F.col(text_col)) if size is None else size).cast("long").alias("size")), "mix-sizes")
+    row = [] if row_col is None else ["row"]
+    sized = written(docs.select(*[F.col(row_col).alias(r) for r in row], F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), (word_count(F.col(text_col)) if size is None else size).cast("long").alias("size")), "mix-sizes")
     spark = docs.sparkSession
     cells = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     # One row per source: as many as the mix has weights to give, so a bounded number.
@@ -105,16 +107,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     plan = fit_in.groupBy("source").applyInPandas(lambda g: _pick(g, most), "source string, size long, n long, target double, rounds int, extra long, source_size long")
     plan = written(plan.withColumn("pieces", F.ceil(F.col("n") / PIECE)), "mix-plan")
     h = F.xxhash64(F.lit(seed), F.col("id"))
-    keyed = sized.join(plan, same(sized, plan, "source", "size")).select("id", sized["source"], sized["size"], "n", "target", "source_size", "rounds", "extra", h.alias("h"), F.pmod(F.shiftright(h, 20), F.col("pieces")).alias("piece"))
+    keyed = sized.join(plan, same(sized, plan, "source", "size")).select("id", *row, sized["source"], sized["size"], "n", "target", "source_size", "rounds", "extra", h.alias("h"), F.pmod(F.shiftright(h, 20), F.col("pieces")).alias("piece"))
     # Sizes whose documents are all taken, or none, need no choice.
     open_ = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
     choice = keyed.where(open_)
     per = choice.groupBy("source", "size", "piece", "extra").agg(F.count("*").alias("m"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("piece").alias("p_piece"), F.greatest(F.lit(0), F.col("extra") - before).alias("quota"))
-    ranked = choice.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "piece").orderBy("h", "id")))
+    ranked = choice.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "piece").orderBy("h", "id", *row)))
     chosen = ranked.join(per, [F.col("source").eqNullSafe(F.col("p_source")), F.col("size") == F.col("p_size"), F.col("piece") == F.col("p_piece")]).withColumn("more", (F.col("rank") <= F.col("quota")).cast("int"))
-    cols = ["id", "source", "size", "source_size", "target", "rounds", "more"]
+    cols = ["id", *row, "source", "size", "source_size", "target", "rounds", "more"]
     whole = keyed.where(~open_).withColumn("more", (F.col("extra") > 0).cast("int"))
     copies = (F.col("rounds") + F.col("more")).cast("int")
-    return whole.select(*cols).unionByName(chosen.select(*cols)).select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return whole.select(*cols).unionByName(chosen.select(*cols)).select(F.col("id").alias(id_col), *[F.col(r).alias(row_col) for r in row], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))

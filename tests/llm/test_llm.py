@@ -335,6 +335,23 @@ def test_mixing_hot_size(spark):
     assert all(abs(r["k"] - r["t"]) <= 3 for r in got)
 
 
+def test_mix_stage_shared_ids(spark):
+    import corpus_pipeline
+
+    # Texts of 3 to 9 words under one id, and rows without id: each has copies of its own.
+    rows = [(7 if i % 2 else None, " ".join(f"w{i}" for _ in range(3 + i % 7)), f"s{i % 3}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    size = lambda t: len(t.split())
+    total, got = Counter(), Counter()
+    for _, t, s in rows:
+        total[s] += size(t)
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        got[r["source"]] += size(r["text"])
+    sources = sorted(total)
+    want = dict(zip(sources, mixing.targets([total[s] for s in sources], [1, 2, 3]), strict=True))
+    assert all(abs(got[s] - want[s]) <= 1 for s in sources)
+
+
 def test_targets_and_fit():
     assert mixing.targets([10, 10, 1], [1, 1, 8]) == [9.0, 9.0, 3.0]
     assert mixing.targets([], []) == [] and mixing.targets([0, 4], [1, 1]) == [0.0, 4.0]
