@@ -54,6 +54,26 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), 1.0).otherwise(F.least(F.lit(0.999), F.when(both > 0, 2.0 * F.size(F.array_intersect(x, y)) / both).otherwise(0.0)))
 
 
+def _apart(x: Column, y: Column) -> Column:
+    """What is left of two arrays without their common beginning and end: start and both ends (positions from 0, ends excluded)."""
+    first = lambda a, b: F.array_position(F.zip_with(a, b, lambda p, q: ~p.eqNullSafe(q)), True)
+    least = F.least(F.size(x), F.size(y))
+    at = F.when(first(x, y) > 0, first(x, y) - 1).otherwise(least)
+    back = first(F.reverse(x), F.reverse(y))
+    same = F.least(F.when(back > 0, back - 1).otherwise(least), least - at)
+    return F.struct(at.cast("int").alias("start"), (F.size(x) - same).cast("int").alias("end"), (F.size(y) - same).cast("int").alias("other_end"))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Where two fingerprints differ: null for equal roots, else the ranges of sections and of leaves that hold all edits.
+
+    Each range runs from ``start`` to ``end`` in a and to ``other_end`` in b; edits that lie apart fall in one range.
+    """
+    part = lambda x, n, digits: F.regexp_extract_all(F.element_at(F.split(x, ":"), n), F.lit(f".{{{digits}}}"), F.lit(0))
+    ranges = F.struct(*[_apart(part(a, n, d), part(b, n, d)).alias(name) for name, n, d in (("sections", 2, 12), ("leaves", 3, LEAF))])
+    return F.when(F.substring_index(a, ":", 1) != F.substring_index(b, ":", 1), ranges)
+
+
 def next_ids(docs: DataFrame, id_col: str) -> DataFrame:
     """id and the next id in ascending order, the first after the last; one row per distinct id.
 

@@ -311,6 +311,28 @@ def test_merkle(docs, by_id):
     assert only["near_next"] == 1.0
 
 
+def test_merkle_differing(spark):
+    r = random.Random(8)
+    lines_ = [f"line {i} {r.random()}, tail {i}" for i in range(60)]
+    edits = {"same": lines_, "one": [*lines_[:30], "edited", *lines_[31:]], "more": [*lines_, "end"], "gone": lines_[1:], "twice": [lines_[0], *lines_], "none": []}
+    df = spark.createDataFrame([(k, "\n".join(lines_), "\n".join(v)) for k, v in edits.items()], "k string, a string, b string")
+    prints = df.select("k", merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
+
+    def apart(x, y):
+        n = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))  # noqa: B905
+        m = next((i for i, (p, q) in enumerate(zip(x[n:][::-1], y[n:][::-1])) if p != q), min(len(x), len(y)) - n)  # noqa: B905
+        return (n, len(x) - m, len(y) - m)
+
+    cut = lambda t, d: [t[i : i + d] for i in range(0, len(t), d)]
+    for row in prints.select("*", merkle.differing(F.col("a"), F.col("b")).alias("d")).collect():
+        x, y = row["a"].split(":"), row["b"].split(":")
+        want = None if row["k"] == "same" else tuple(apart(cut(x[n], d), cut(y[n], d)) for n, d in ((1, 12), (2, 6)))
+        assert (row["d"] and tuple(tuple(z) for z in row["d"])) == want, row["k"]
+        if row["k"] == "one":
+            start, end, other = row["d"]["leaves"]
+            assert end - start <= 6 and other - start <= 6 and row["d"]["sections"]["end"] - row["d"]["sections"]["start"] <= 2
+
+
 def test_mixing(docs, by_id):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()
