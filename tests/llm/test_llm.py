@@ -253,9 +253,10 @@ def brute_components(rows, width):
     return Counter((i, len(s), least[root(k)] if i is not None else None) for k, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize(("width", "block"), [(2, 2048), (5, 4)])
-def test_minhash(docs, spark, monkeypatch, width, block):
-    monkeypatch.setattr(minhash, "BLOCK", block)
+@pytest.mark.parametrize(("width", "members", "words"), [(2, 1 << 16, 2_000_000), (5, 4, 400)])
+def test_minhash(docs, spark, monkeypatch, width, members, words):
+    monkeypatch.setattr(minhash, "MEMBERS", members)
+    monkeypatch.setattr(minhash, "WORDS", words)
     r = random.Random(width)
     base = [f"w{r.randint(0, 400)}" for _ in range(100)]
     near = []
@@ -265,11 +266,51 @@ def test_minhash(docs, spark, monkeypatch, width, block):
             w[r.randrange(100)] = f"x{r.randint(0, 10**6)}"
         near.append((1000 + i, " ".join(w)))
     rows = [tuple(x) for x in docs.select("doc_id", "text").collect()] + near
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)), width=width).collect()
+    # One id for different texts, and for equal ones.
+    rows += [(5, " ".join(base[:60])), (5, "quite another text"), (5, "quite another text"), (-7, "quite another text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("node", "row", "id", "h", "label"):
+        df = df.withColumn(name, F.lit(1))
+    got = minhash.near_duplicates(df, width=width).collect()
     assert Counter(tuple(x) for x in got) == brute_components(rows, width)
     assert minhash.near_duplicates(empty(docs)).count() == 0
 
 
+def test_minhash_rows(spark):
+    """With row numbers, one row of each component stays, whatever ids repeat or are missing."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, 3, text), (2, 5, f"{text} more"), (3, 5, "quite another text b c d"), (4, None, text), (5, None, "only once among the nulls"), (6, None, "only once among the nulls"), (7, 5, "quite another text b c d"), (8, None, None), (9, None, "")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "k long, doc_id long, text string"), row_col="k").collect()
+    assert sorted(r["k"] for r in got if r["kept"]) == [1, 3, 5, 8, 9] and len(got) == 9
+    assert {r["k"]: r["component_id"] for r in got} == {1: 3, 2: 3, 3: 5, 4: 3, 5: None, 6: None, 7: 5, 8: None, 9: None}
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_minhash_recall(spark, percent):
+    """Pairs just at and above the similarity asked for, each of a vocabulary of its own."""
+    r, rows = random.Random(percent), []
+    for i in range(150):
+        size, w = r.randint(60, 200), [f"p{i}w{j}" for j in range(400)]
+        drop = int(size * (100 - percent) / 100)  # |x & y| = size - drop, |x | y| = size
+        rows += [(2 * i, " ".join(w[:size])), (2 * i + 1, " ".join(w[: size - drop]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=1, percent=percent).collect()
+    assert all(r["component_id"] == r["doc_id"] - r["doc_id"] % 2 for r in got)
+
+
+def test_minhash_one_bucket(spark):
+    """Members of one bucket that are all unlike: one row for each, as long as they fit into one group."""
+    rows = spark.range(20_000).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node"), F.col("id").alias("label"), F.lit(1).alias("one"))
+    assert minhash._in_blocks(rows, "one", minhash.MEMBERS).count() == 20_000
+    # Each stray still meets each other one, and each of the largest component, where blocks are small.
+    some = spark.range(300).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node"), F.least(F.col("id"), F.lit(40)).alias("label"), F.lit(1).alias("one"))
+    met = Counter()
+    for _, g in minhash._in_blocks(some, "one", 30).toPandas().groupby(["first", "second"]):
+        g = g.reset_index(drop=True)
+        for i, js in minhash._partners(g, 0, len(g)):
+            met.update(tuple(sorted((g["node"][i], g["node"][j]))) for j in js)
+    assert met == Counter((a, b) for a in range(40) for b in range(a + 1, 300))
+
+
 def test_signatures_estimate_jaccard():
     r = np.random.default_rng(2)
     pool = r.integers(0, 2**63, 3000, dtype=np.uint64)
@@ -374,6 +415,17 @@ def test_mix_stage_shared_ids(spark):
     assert all(abs(got[s] - want[s]) <= 1 for s in sources)
 
 
+def test_near_dedup_stage_shared_ids(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, text), (5, f"{text} more"), (5, "quite another text b"), (None, text), (None, "alone"), (None, "alone"), (None, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("extra"))
+    got = corpus_pipeline.one_of_each(spark, df, "")
+    assert got.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(3, text), (5, "quite another text b"), (None, "alone"), (None, None), (6, "")])
+
+
 def test_targets_and_fit():
     assert mixing.targets([10, 10, 1], [1, 1, 8]) == [9.0, 9.0, 3.0]
     assert mixing.targets([], []) == [] and mixing.targets([0, 4], [1, 1]) == [0.0, 4.0]
@@ -396,7 +448,8 @@ def test_oracle(spark, sf):
     import __spark_entry__ as entry
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "conversations", "labels", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in entry.oracle_sql().items():
         if name.startswith("op"):
             df = entry.queries()[name](spark, sf)
