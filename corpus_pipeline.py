@@ -27,23 +27,22 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a number each, written so that a row has the same number wherever the table is read."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), f"pipeline-{name}-rows")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies; repeated rows of one id and text become one; rows without
-    id stay."""
-    found = minhash.near_duplicates(docs)
-    copies = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    out = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    if not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
-        # Only where ids repeat: rows without id must not fall together, so they get one of their own.
-        own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
-        out = out.withColumn("__id", own).withColumn("__text", F.xxhash64("text")).dropDuplicates(["__id", "__text"]).select(*docs.columns)
-    return out
+    """One row of each group of near copies, the one with the least id (rows without id come last), whether or not rows share an
+    id; repeated rows become one."""
+    keyed = numbered(docs, "near-dedup")
+    kept = minhash.near_duplicates(keyed, row_col="__row").where("kept").select("__row")
+    return keyed.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, whether or not others share its id."""
-    # Written, so that a row has the same key in the plan and in the join.
-    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-mixing-rows")
+    keyed = numbered(docs, "mixing")
     plan = mixing.mix(keyed, row_col="__row").where("copies > 0").select("__row", F.col("copies").alias("__copies"))
     return keyed.join(plan, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
