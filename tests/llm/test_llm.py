@@ -335,6 +335,56 @@ def test_toxicity(spark):
     assert toxicity.score(docs.where("false"), model).count() == 0
 
 
+def brute_tree(text):
+    """Sections of paragraphs of leaves: (hash, [(hash, [leaf, ...]), ...]) and the root, hashes at full length."""
+    paragraphs = []
+    for line in (text or "").split("\n"):
+        leaves = [sha(x) for x in re.findall(r"[^.,;:!?\n]{1,64}[.,;:!?]*|[.,;:!?]+", line) or [""]]
+        paragraphs.append((sha("".join(leaves)), leaves))
+    sections, now = [], []
+    for i, x in enumerate(paragraphs):
+        now.append(x)
+        if x[0][-1] in "08" or i == len(paragraphs) - 1:
+            sections.append((sha(",".join(h for h, _ in now)), now))
+            now = []
+    return sha("".join(h for h, _ in sections)), sections
+
+
+def brute_print(tree):
+    return tree[0][:32] + "|" + ";".join(h[:8] + ":" + ",".join("".join(x[:6] for x in leaves) + "." + p[:8] for p, leaves in ps) for h, ps in tree[1])
+
+
+def brute_compare(a, b):
+    """Likeness, and the paths of leaves without partner."""
+    if a[0] == b[0]:
+        return 1.0, None
+    count = lambda x: len(x) if isinstance(x, list) and x and isinstance(x[0], str) else sum(count(y[1]) for y in x)
+    total, like = count(a[1]) + count(b[1]), 0
+
+    def pair(x, y):
+        """Items are (path, short hash, what is below); gives the weight in order and what is left over."""
+        nonlocal like
+        places = {}
+        for i, (_, h, _) in enumerate(y):
+            places.setdefault(h, []).append(i)
+        used, last, rest = set(), None, []
+        for item in x:
+            if places.get(item[1]):
+                at = places[item[1]].pop(0)
+                used.add(at)
+                like += (count(item[2]) if item[2] is not None else 1) if last is None or at > last else 0
+                last = at
+            else:
+                rest.append(item)
+        return rest, [item for i, item in enumerate(y) if i not in used]
+
+    sides = [[((i,), h[:8], ps) for i, (h, ps) in enumerate(t[1])] for t in (a, b)]
+    sides = pair(*sides)
+    sides = pair(*[[((*at, j), h[:8], leaves) for at, _, ps in s for j, (h, leaves) in enumerate(ps)] for s in sides])
+    sides = pair(*[[((*at, k), x[:6], None) for at, _, leaves in s for k, x in enumerate(leaves)] for s in sides])
+    return min(0.999, 2.0 * like / total), tuple([at for at, _, _ in s] for s in sides)
+
+
 def test_merkle(docs, by_id):
     some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     got = {r["doc_id"]: r for r in merkle.compare_with_next(some).collect()}
@@ -342,36 +392,34 @@ def test_merkle(docs, by_id):
     assert len(ids) == len(by_id) - 1
     for i, nxt in zip(ids, [*ids[1:], ids[0]], strict=True):
         t, q = by_id[i], len(by_id[i]) // 4
-        r = got[i]
-        assert r["n_chars"] == len(t) and r["edited_sha256"] == sha(t[: len(t) - q] + by_id[nxt][:q])
-        assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
+        edited, r = t[: len(t) - q] + by_id[nxt][:q], got[i]
+        own, other, following = brute_tree(t), brute_tree(edited), brute_tree(by_id[nxt])
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(t), sha(edited), brute_print(own), brute_print(other))
+        assert (r["near_edited"], r["near_next"]) == (brute_compare(own, other)[0], brute_compare(own, following)[0])
     assert got[8]["fingerprint"] == got[8 + 40]["fingerprint"] and len({r["fingerprint"] for r in got.values()}) >= len(set(by_id.values())) - 1
-    assert np.mean([r["near_edited"] for r in got.values() if r["n_chars"] > 100]) > 0.4
     assert merkle.compare_with_next(docs).count() == docs.count() and merkle.compare_with_next(empty(docs)).count() == 0
     only = merkle.compare_with_next(some.where("doc_id = 9")).first()
     assert only["near_next"] == 1.0
 
 
-def test_merkle_differing(spark):
+def test_merkle_compare(spark):
     r = random.Random(8)
     lines_ = [f"line {i} {r.random()}, tail {i}" for i in range(60)]
-    edits = {"same": lines_, "one": [*lines_[:30], "edited", *lines_[31:]], "more": [*lines_, "end"], "gone": lines_[1:], "twice": [lines_[0], *lines_], "none": []}
-    df = spark.createDataFrame([(k, "\n".join(lines_), "\n".join(v)) for k, v in edits.items()], "k string, a string, b string")
-    prints = df.select("k", merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
-
-    def apart(x, y):
-        n = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))  # noqa: B905
-        m = next((i for i, (p, q) in enumerate(zip(x[n:][::-1], y[n:][::-1])) if p != q), min(len(x), len(y)) - n)  # noqa: B905
-        return (n, len(x) - m, len(y) - m)
-
-    cut = lambda t, d: [t[i : i + d] for i in range(0, len(t), d)]
-    for row in prints.select("*", merkle.differing(F.col("a"), F.col("b")).alias("d")).collect():
-        x, y = row["a"].split(":"), row["b"].split(":")
-        want = None if row["k"] == "same" else tuple(apart(cut(x[n], d), cut(y[n], d)) for n, d in ((1, 12), (2, 6)))
-        assert (row["d"] and tuple(tuple(z) for z in row["d"])) == want, row["k"]
-        if row["k"] == "one":
-            start, end, other = row["d"]["leaves"]
-            assert end - start <= 6 and other - start <= 6 and row["d"]["sections"]["end"] - row["d"]["sections"]["start"] <= 2
+    two = [*lines_[:9], "edited, tail 9", *lines_[10:50], "edited too, tail", *lines_[51:]]
+    edits = {"same": lines_, "one": [*lines_[:30], "edited", *lines_[31:]], "two": two, "more": [*lines_, "end"], "gone": lines_[1:], "twice": [lines_[0], *lines_], "none": [], "back": lines_[::-1], "moved": lines_[40:] + lines_[:40], "again": lines_ + lines_, "same line": ["x"] * 30_000}
+    edits |= {f"random {i}": [r.choice(["", "a", "a, b", "a, a", "c.", *lines_[:3]]) for _ in range(r.randint(1, 30))] for i in range(30)}
+    for other in ("one", "same line", "random 1"):
+        base = "\n".join(edits[other])
+        df = spark.createDataFrame([(k, base, "\n".join(v)) for k, v in edits.items()], "k string, a string, b string").withColumn("__m_x", F.lit(1))
+        prints = df.select("k", "__m_x", merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
+        for row in merkle.compare(prints, "a", "b", "likeness", "apart").collect():
+            like, apart = brute_compare(brute_tree(base), brute_tree("\n".join(edits[row["k"]])))
+            found = row["apart"] and tuple([tuple(x) for x in row["apart"][s]] for s in ("a", "b"))
+            assert (row["likeness"], found) == (like, apart), row["k"]
+            if other == "one" and row["k"] == "same":
+                assert [len(x) for x in found] == [1, 3] and like > 0.95  # the one line that was edited, of three leaves
+            if other == "one" and row["k"] == "back":
+                assert like < 0.6
 
 
 def test_mixing(docs, by_id):
