@@ -6,18 +6,22 @@ suffixes: two positions match if their suffixes share the first 50 bytes, so suf
 Distribution. All suffixes of one class must meet, but suffixes alone in their class need not travel. Documents are packed
 into blocks of a few megabytes. Each 50-byte window has a key, the least hash of its 16-byte grams; equal windows have equal
 keys, and consecutive windows mostly share theirs, so a block is a list of runs of windows with one key. First only the distinct
-keys of each block travel (dealt by key), and a bit comes back for each: whether another document has it. Then the texts of
-runs with shared keys travel, each distinct text once per block with its least document. A key that a third of all
-documents have is thus one entry per block.
-
-Refinement. Where the runs of a key meet, equal texts are joined first. For keys with several texts their suffixes get initial
-buckets by their first 8 bytes (q-grams, taken exactly). A suffix's bucket for 16 bytes is refined by sorting on its own bucket
-and the bucket of the suffix 8 positions on; these updated buckets refine to 32 bytes with those 16 on, and to 50 with those 18
-on. Suffixes alone in their bucket leave. Every class then has its least document, which goes back to the blocks as runs.
+keys of each block travel (dealt by key), and bits come back for each: whether another document has it, and whether it is hot,
+which is if its runs have more than ``HOT`` texts in all blocks. Runs of hot keys are taken apart into windows, each dealt by the hash of
+all its 50 bytes; of these, too, the hashes travel first, and only windows that another document has go on. Then the texts of
+runs and windows with shared keys travel, each distinct text once per block with its least document. A key that a third of all
+documents have is thus one entry per block if its text is the same, and is spread over all buckets if its texts differ.
+
+Refinement. Where the texts of a key meet, equal ones are joined first; a key with one text left holds no two suffixes to be told
+apart. Suffixes of keys with several texts get initial buckets by their first 8 bytes (q-grams, taken exactly). A bucket for 16
+bytes is a bucket sorted by its suffixes' pointers to the buckets of the suffixes 8 positions on; a bucket's number is the place of its
+head, so refined buckets keep to the place of the one that they come from, and the pointers that are updated by one pass are what the next
+ones sort by: 16 positions on for 32 bytes, 18 on for 50. Suffixes alone in their bucket leave, their pointer being final. Every class
+then has its least document, which goes back to the blocks as runs.
 
 Cases: a null text counts as empty; texts under 50 bytes lose nothing; documents with one id count as one document; a null id
 counts as greater than all others; ties don't exist as ids are compared strictly; empty tables give no rows; extra columns are
-not read. Ids are integers. Texts are worked on whole; a block holds one text at least.
+not read, whatever their names; repeated rows lose nothing to one another. Ids are integers. Texts are worked on whole; a block holds one text at least.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ DEPTH, GRAM = 50, 16
 BLOCK, PER_BUCKET = 8_000_000, 12_000_000
 #: Positions that are hashed at a time.
 CHUNK = 1 << 18
+#: Distinct texts of a key, over all blocks, from which its windows are dealt one by one.
+HOT = 1 << 14
 LAST = np.iinfo(np.int64).max
 _U = np.uint64
 
@@ -109,29 +115,75 @@ def _from_planes(x: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(kind).ravel()
 
 
-class Block:
-    """A block's documents and runs: for each run its first window, the place after its last window, key and document."""
+class Runs:
+    """Runs of windows: for each its first window, the place after its last window, document, key and bucket; and the distinct
+    keys, by bucket and value: ``several`` tells whether several documents have it, ``texts`` how many distinct texts."""
 
-    def __init__(self, ids: bytes, sizes: bytes, text: bytes, buckets: int):
-        self.ids, self.sizes = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
-        self.raw = _unzip(text)
-        self.ends = np.cumsum(self.sizes)
-        self.starts = self.ends - self.sizes
-        self._runs(np.frombuffer(self.raw, np.uint8), np.flatnonzero(self.sizes >= DEPTH))
-        # Distinct keys by bucket and value.
-        bucket = (self.key % _U(buckets)).astype(np.int64)
-        order = np.lexsort((self.key, bucket))
-        k = self.key[order]
-        new = np.ones(len(k), bool)
+    def __init__(self, first: np.ndarray, stop: np.ndarray, doc: np.ndarray, key: np.ndarray, bucket: np.ndarray, ids: np.ndarray, data: np.ndarray):
+        self.first, self.stop, self.doc, self.key, self.bucket = first, stop, doc, key, bucket
+        grams = _grams(data)
+        text = _mix(grams[first] + _mix(grams[stop + DEPTH - 9] ^ (stop - first).astype(_U))) if len(first) else key
+        order = np.lexsort((text, key, bucket))
+        k, t = key[order], text[order]
+        new, differs = np.ones(len(k), bool), np.ones(len(k), np.int64)
         new[1:] = k[1:] != k[:-1]
+        differs[1:] = new[1:] | (t[1:] != t[:-1])
         self.place = np.empty(len(k), np.int64)  # of each run's key among the distinct ones
         self.place[order] = np.cumsum(new) - 1
         heads = np.flatnonzero(new)
         self.keys, self.bucket_of = k[heads], bucket[order][heads]
-        docs = self.ids[self.doc[order]]
+        docs = ids[doc[order]]
         self.several = np.minimum.reduceat(docs, heads) != np.maximum.reduceat(docs, heads) if len(heads) else np.empty(0, bool)
+        self.texts = np.add.reduceat(differs, heads).astype(np.uint32) if len(heads) else np.empty(0, np.uint32)
 
-    def _runs(self, data: np.ndarray, long: np.ndarray) -> None:
+    def by_bucket(self) -> Iterator[tuple[int, int, int]]:
+        """Bucket and its range of distinct keys."""
+        edges = [*np.flatnonzero(np.diff(self.bucket_of, prepend=-1)).tolist(), len(self.bucket_of)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            yield int(self.bucket_of[lo]), lo, hi
+
+    def bits(self, masks: list, name: str) -> np.ndarray:
+        """For each run what the masks of its bucket tell of its key."""
+        out, at = np.zeros(len(self.keys), bool), {b: (lo, hi) for b, lo, hi in self.by_bucket()}
+        for m in masks:
+            if m["bucket"] in at and m[name] is not None:
+                lo, hi = at[m["bucket"]]
+                out[lo:hi] = np.unpackbits(np.frombuffer(m[name], np.uint8), count=hi - lo).astype(bool)
+        return out[self.place]
+
+
+class Block:
+    """A block's documents, its runs (``one``) and, once masks tell which keys are hot, the windows of those (``two``, in buckets
+    from ``buckets`` on)."""
+
+    def __init__(self, ids: bytes, sizes: bytes, text: bytes, buckets: int, masks: list | None = None):
+        self.ids, self.sizes = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
+        self.raw = _unzip(text)
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        data = np.frombuffer(self.raw, np.uint8)
+        first, stop, doc, key = self._runs(data, np.flatnonzero(self.sizes >= DEPTH))
+        self.one = Runs(first, stop, doc, key, (key % _U(buckets)).astype(np.int64), self.ids, data)
+        if masks is None:
+            return
+        live, hot = self.one.bits(masks, "mask"), self.one.bits(masks, "hot")
+        wide = np.flatnonzero(live & hot)
+        count = stop[wide] - first[wide]
+        window = np.repeat(first[wide] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        key = self._whole(data, window)
+        self.two = Runs(window, window + 1, np.repeat(doc[wide], count), key, (key % _U(buckets)).astype(np.int64) + buckets, self.ids, data)
+        self.first, self.stop, self.doc, self.bucket = (np.concatenate([getattr(r, x) for r in (self.one, self.two)]) for x in ("first", "stop", "doc", "bucket"))
+        self.live = np.concatenate([live & ~hot, self.two.bits(masks, "mask")])
+
+    @staticmethod
+    def _whole(data: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """A hash of all bytes of each window."""
+        grams, out = _grams(data), np.zeros(len(window), _U)
+        for at in (*range(0, DEPTH - 8, 8), DEPTH - 8) if len(window) else ():
+            out = _mix(out * _U(0x9E3779B97F4A7C15) + grams[window + at])
+        return out
+
+    def _runs(self, data: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         opens, closes = self.starts[long], self.ends[long] - DEPTH + 1
         first, keys = [np.empty(0, np.int64)], [np.empty(0, _U)]
         for lo in range(0, max(0, len(data) - DEPTH + 1) if len(long) else 0, CHUNK):
@@ -146,33 +198,23 @@ class Block:
             at = np.insert(at, np.searchsorted(at, own), own)
             first.append(at)
             keys.append(low[at - back])
-        self.first, self.key = np.concatenate(first), _mix(np.concatenate(keys))
-        doc = np.searchsorted(opens, self.first, "right") - 1
-        self.doc = long[doc] if len(doc) else doc
-        self.stop = np.minimum(np.append(self.first[1:], len(data))[: len(doc)], self.ends[self.doc] - DEPTH + 1) if len(doc) else doc
-
-    def by_bucket(self) -> Iterator[tuple[int, int, int]]:
-        """Bucket and its range of distinct keys."""
-        edges = np.flatnonzero(np.append(True, self.bucket_of[1:] != self.bucket_of[:-1])) if len(self.bucket_of) else []
-        for lo, hi in zip(edges, [*edges[1:], len(self.bucket_of)], strict=True):
-            yield int(self.bucket_of[lo]), int(lo), int(hi)
+        first, key = np.concatenate(first), _mix(np.concatenate(keys))
+        doc = long[np.searchsorted(opens, first, "right") - 1] if len(first) else first
+        return first, np.minimum(np.append(first[1:], len(data))[: len(first)], self.ends[doc] - DEPTH + 1), doc, key
 
-    def shared_texts(self, masks: list) -> dict[int, tuple[list[bytes], list[int], list[int], list[list[int]]]]:
+    def shared_texts(self) -> dict[int, tuple[list[bytes], list[int], list[int], list[list[int]]]]:
         """By bucket the distinct texts of runs whose keys are shared, the least and greatest id of each, its runs."""
-        shared, at = np.zeros(len(self.keys), bool), {b: (lo, hi) for b, lo, hi in self.by_bucket()}
-        for m in masks:
-            lo, hi = at[m["bucket"]]
-            shared[lo:hi] = np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=hi - lo).astype(bool)
-        runs = np.flatnonzero(shared[self.place])
+        runs = np.flatnonzero(self.live)
         out: dict = {}
-        buckets, begin, end, ids = (x.tolist() for x in (self.bucket_of[self.place[runs]], self.first[runs], self.stop[runs] + DEPTH - 1, self.ids[self.doc[runs]]))
+        buckets, begin, end, ids = (x.tolist() for x in (self.bucket[runs], self.first[runs], self.stop[runs] + DEPTH - 1, self.ids[self.doc[runs]]))
         raw, seen = self.raw, {}
         for run, b, lo, hi, d in zip(runs.tolist(), buckets, begin, end, ids, strict=True):
-            text = raw[lo:hi]
+            # A window that is dealt by its own hash is no run of its key, even if the text is the same.
+            text = (raw[lo:hi], b)
             if (i := seen.get(text)) is None:
                 texts, least, most, where = out.setdefault(b, ([], [], [], []))
                 seen[text] = len(texts)
-                texts.append(text)
+                texts.append(text[0])
                 least.append(d)
                 most.append(d)
                 where.append([run])
@@ -203,42 +245,56 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _keys(buckets: int):
+    """Keys of a block's runs or, where masks are given, of its hot windows."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                x = Block(r.ids, r.sizes, r.text, buckets)
-                rows = [(k, r.block, _planes(np.diff(x.keys[lo:hi], prepend=_U(0))), np.packbits(x.several[lo:hi]).tobytes()) for k, lo, hi in x.by_bucket()]
-                yield pd.DataFrame(rows, columns=["bucket", "block", "keys", "several"])
+                masks = getattr(r, "masks", None)
+                x = Block(r.ids, r.sizes, r.text, buckets, masks)
+                x = x.one if masks is None else x.two
+                rows = [(k, r.block, _planes(np.diff(x.keys[lo:hi], prepend=_U(0))), np.packbits(x.several[lo:hi]).tobytes(), _planes(x.texts[lo:hi])) for k, lo, hi in x.by_bucket()]
+                yield pd.DataFrame(rows, columns=["bucket", "block", "keys", "several", "texts"])
 
     return run
 
 
-def _shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """For each block a bit for each of its keys in a bucket: whether more than one document has it."""
-    keys = [np.cumsum(_from_planes(k, _U), dtype=_U) for k in rows["keys"]]
-    several = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(k)) for s, k in zip(rows["several"], keys, strict=True)]
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    k = every[order]
-    same = k[1:] == k[:-1]
-    shared = np.zeros(len(k), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    out = np.empty(len(k), bool)
-    out[order] = shared
-    # A key that several documents of one block have is shared as well; in every block that has it, it is found so or above.
-    out |= np.concatenate(several).astype(bool)
-    ends = np.cumsum([len(x) for x in keys])
-    masks = [out[hi - len(x) : hi] for x, hi in zip(keys, ends, strict=True)]
-    keep = [i for i, m in enumerate(masks) if m.any()]
-    return pd.DataFrame({"block": rows["block"].to_numpy()[keep], "bucket": np.full(len(keep), key[0]), "mask": [np.packbits(masks[i]).tobytes() for i in keep]})
+def _shared(hot: int):
+    """For each block bits for each of its keys in a bucket: whether more than one document has it, and whether its runs have more
+    than ``hot`` texts in all blocks."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.cumsum(_from_planes(k, _U), dtype=_U) for k in rows["keys"]]
+        several = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(k)) for s, k in zip(rows["several"], keys, strict=True)]
+        texts = np.concatenate([_from_planes(x, np.uint32) for x in rows["texts"]]).astype(np.int64)
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        k = every[order]
+        same = k[1:] == k[:-1]
+        shared = np.zeros(len(k), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        out, many = np.empty(len(k), bool), np.empty(len(k), bool)
+        out[order] = shared
+        heads = np.flatnonzero(np.append(True, ~same))
+        many[order] = np.repeat(np.add.reduceat(texts[order], heads) > hot, np.diff(np.append(heads, len(k))))
+        # A key that several documents of one block have is shared as well; in every block that has it, it is found so or above.
+        out |= np.concatenate(several).astype(bool)
+        many &= out
+        ends = np.cumsum([len(x) for x in keys])
+        masks = [(out[hi - len(x) : hi], many[hi - len(x) : hi]) for x, hi in zip(keys, ends, strict=True)]
+        keep = [i for i, (m, _) in enumerate(masks) if m.any()]
+        bits = lambda x: np.packbits(x).tobytes()
+        return pd.DataFrame({"block": rows["block"].to_numpy()[keep], "bucket": np.full(len(keep), key[0]), "mask": [bits(masks[i][0]) for i in keep], "hot": [bits(masks[i][1]) if masks[i][1].any() else None for i in keep]})
+
+    return run
 
 
 def _texts(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                found = Block(r.ids, r.sizes, r.text, buckets).shared_texts(r.masks if r.masks is not None else [])
+                found = Block(r.ids, r.sizes, r.text, buckets, r.masks).shared_texts() if r.masks is not None else {}
                 rows = [(k, r.block, _planes(np.array([len(t) for t in texts], np.uint32)), _planes(np.array(least, np.int64)), _planes(np.array(most, np.int64)), _zip(b"".join(texts))) for k, (texts, least, most, _) in found.items()]
                 yield pd.DataFrame(rows, columns=["bucket", "block", "sizes", "least", "most", "texts"])
 
@@ -251,29 +307,54 @@ def refine(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     ``docs``: the least document of each text.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+    data = np.frombuffer(b"".join(texts) + bytes(DEPTH), np.uint8)
     starts = np.cumsum(sizes) - sizes
     windows = sizes - DEPTH + 1
     owner = np.repeat(np.arange(len(texts)), windows)
     place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + starts[owner]
 
-    def buckets(x: np.ndarray) -> np.ndarray:
-        """Ranks of numbers, equal for equal ones."""
-        order = np.argsort(x)
-        s = x[order]
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
-        out = np.empty(len(x), np.uint64)
-        out[order] = np.cumsum(new) - 1
-        return out
-
-    at = buckets(_grams(data))  # each position's bucket for 8 bytes; across two texts' border it is never used
+    def heads(x: np.ndarray) -> np.ndarray:
+        """Where sorted numbers change."""
+        return np.append(True, x[1:] != x[:-1])
+
+    def left(first: np.ndarray) -> np.ndarray:
+        """Who is not alone, of sorted ones that change where ``first`` says so."""
+        return ~(first & np.append(first[1:], True))
+
+    def refined(tied: np.ndarray, step: int) -> np.ndarray:
+        """Sorts the buckets of the tied suffixes by the pointers ``step`` positions on and updates their own; gives those still tied."""
+        key = at[tied] << _U(32) | at[tied + step]
+        order = np.argsort(key)
+        key, tied = key[order], tied[order]
+        first, outer = heads(key), heads(key >> _U(32))
+        n = np.arange(len(key))
+        begin = np.maximum.accumulate(np.where(outer, n, 0))
+        at[tied] = (key >> _U(32)) + (np.maximum.accumulate(np.where(first, n, 0)) - begin).astype(_U)
+        return tied[left(first)]
+
+    # A suffix's pointer: the place of its bucket's head in the order of all. Across two texts' border it is never used.
+    grams = _grams(data)
+    order = np.argsort(grams)
+    first = heads(grams[order])
+    at = np.zeros(len(grams) + DEPTH, _U)
+    at[order] = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    tied = order[left(first)]
     for step in (8, 16):
-        at = buckets(at[: len(at) - step] << _U(32) | at[step:])
-    last = buckets(at[place] << _U(32) | at[place + DEPTH - 32]).astype(np.int64)
-    least = np.full(int(last.max(initial=-1)) + 1, LAST)
-    np.minimum.at(least, last, docs[owner])
-    return np.split(least[last], np.cumsum(windows)[:-1])
+        tied = refined(tied, step) if len(tied) else tied
+    inside = np.zeros(len(data), bool)
+    inside[place] = True
+    tied = tied[inside[tied]]
+    least = docs[owner]
+    if len(tied):
+        key = at[tied] << _U(32) | at[tied + DEPTH - 32]
+        order = np.argsort(key)
+        tied, number = tied[order], np.cumsum(heads(key[order])) - 1
+        where = np.empty(len(data), np.int64)
+        where[place] = np.arange(len(place))
+        low = np.full(number[-1] + 1, LAST)
+        np.minimum.at(low, number, least[where[tied]])
+        least[where[tied]] = low[number]
+    return np.split(least, np.cumsum(windows)[:-1])
 
 
 def _answers(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -337,9 +418,9 @@ def _remove(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                x = Block(r.ids, r.sizes, r.text, buckets)
+                x = Block(r.ids, r.sizes, r.text, buckets, r.masks if r.masks is not None else [])
                 gone = np.zeros(len(x.raw) + 1, np.int32)
-                found = x.shared_texts(r.masks if r.masks is not None else []) if r.answers is not None else {}
+                found = x.shared_texts() if r.answers is not None else {}
                 whole, least = [], []  # runs all of whose windows have one least document
                 for a in r.answers if r.answers is not None else []:
                     where = found[a["bucket"]][3]
@@ -382,10 +463,18 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PER_BUCKET + 1)
     blocks = blocks.select("block", "ids", "sizes", "text")
-    keys = blocks.mapInPandas(_keys(n), "bucket long, block long, keys binary, several binary")
-    masks = written(keys.groupBy("bucket").applyInPandas(_shared, "block long, bucket long, mask binary"), "suffix-masks")
-    by_block = masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))  # a bit per key of one block
-    marked = blocks.join(by_block, "block", "left")
+    told, kind = "bucket long, block long, keys binary, several binary, texts binary", "block long, bucket long, mask binary, hot binary"
+    masks = written(blocks.mapInPandas(_keys(n), told).groupBy("bucket").applyInPandas(_shared(HOT), kind), "suffix-masks")
+
+    def with_masks(found: DataFrame) -> DataFrame:
+        return blocks.join(found.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask", "hot")).alias("masks")), "block", "left")  # bits for each key of one block
+
+    hot = masks.where(F.col("hot").isNotNull())
+    if not hot.isEmpty():
+        # Windows of hot keys: what their hashes tell replaces what the keys told. No window is told hot.
+        wide = with_masks(masks).where(F.exists("masks", lambda m: m["hot"].isNotNull()))
+        masks = masks.union(written(wide.mapInPandas(_keys(n), told).groupBy("bucket").applyInPandas(_shared(LAST), kind), "suffix-window-masks"))
+    marked = with_masks(masks)
     texts = marked.mapInPandas(_texts(n), "bucket long, block long, sizes binary, least binary, most binary, texts binary")
     answers = written(texts.groupBy("bucket").applyInPandas(_answers, "block long, bucket long, which binary, counts binary, lens binary, vals binary"), "suffix-answers")
     told = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "which", "counts", "lens", "vals")).alias("answers"))  # of one block's texts

@@ -126,10 +126,14 @@ def test_refinement(alphabet):
         assert found.tolist() == [least[t[i : i + 50]] for i in range(len(t) - 49)]
 
 
-@pytest.mark.parametrize("block", [300, 4_000_000])
-def test_suffix_dedup(docs, by_id, spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(300, 1 << 14), (4_000_000, 1 << 14), (3_000, 0), (3_000, 3)])
+def test_suffix_dedup(docs, by_id, spark, monkeypatch, block, hot):
     monkeypatch.setattr(suffix_dedup, "BLOCK", block)
-    some = docs.where("length(text) < 2000 or text is null")
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    some = docs.where("length(text) < 2000 or text is null").select("doc_id", "text", F.lit(1).alias("block"))
+    if hot == 3:  # one gram that all documents have, with neighbours of their own or shared by two
+        more = spark.range(100).select((F.col("id") + 500).alias("doc_id"), F.concat_ws(" ", F.sha2((F.col("id") % 70).cast("string"), 256), F.lit("a gram that is the same"), F.sha2(F.col("id").cast("string"), 256)).alias("text"), F.lit(1).alias("block"))
+        some = some.union(more)
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in some.select("doc_id", "text").collect()]
     rank = lambda i: 10**9 if i is None else i
     first = {}
