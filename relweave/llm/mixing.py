@@ -1,21 +1,28 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Documents are counted by source and exact size. A source's target is met by whole rounds of all its documents plus a rest;
-the rest is a subset-sum problem over the counts: a proportional share of each size is taken first, and a bounded knapsack
-over the sizes left fits what remains exactly, or as near below as sums allow. Which documents of a size are taken follows a
-seeded hash, so reruns agree.
+Documents are counted by source and exact size. A source's target is met by whole rounds of all its documents plus a rest; the
+rest is a subset-sum problem over the counts, whose best sum (the largest that doesn't exceed it) is found by dynamic programming.
+So that the taken documents are spread over the sizes as the source's are, a proportional share of each size is fixed first and the
+programme works on what remains; where that doesn't reach the budget exactly, the share is revised: ever more of it is given back,
+at last all of it, so that the sum is the best one reachable. Which documents of a size are taken follows a seeded hash, so reruns agree.
 
 Nothing gathers a source's documents in one place: a task that fits a source sees one row per size, and the choice among
-documents of one size is made in pieces of about ``PIECE`` documents, cut by the same hash. The driver sees one row per source.
+documents of one size is made in pieces of about ``PIECE`` documents, cut by the same hash. The driver sees one row per source, as
+targets depend on all sources; their number is not bounded, but each is a name and a number. Where a source of many documents
+can't reach its budget, which needs sizes that leave gaps (a common divisor is taken out first), the last programme takes 8 bytes for
+each word of the budget.
 
 Cases: a null text has size 0; a null source is a source of its own, the last; sizes 0 take nothing; repeated rows are rows of
-their own; an empty table gives an empty result; a null doc_id hashes like any value.
+their own, chosen as by ties of the hash (then by id, then by ``row_col``); very long texts are a size of their own; an empty table
+gives an empty result; a null doc_id hashes like any value; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +31,8 @@ from relweave.llm.common import word_count, written
 
 WEIGHTS, MAX_REPEATS, SEED = (1, 2, 3), 3, 7
 PIECE = 2048
-#: The knapsack works on a rest of at most so many words; the proportional share and the largest sizes take what is above.
-KNAPSACK = 1 << 15
+#: Words that the first programme leaves to itself; each further one takes so many times more.
+FIRST, MORE = 1 << 15, 16
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], most: float = MAX_REPEATS) -> list[float]:
@@ -46,37 +53,53 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float = MAX_RE
     return out
 
 
+def best_sum(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
+    """How many of each size (all positive) to take for the largest sum that doesn't exceed the budget, by dynamic programming."""
+    # For each sum the step by which it was first reached; counts are split in powers of two, largest sizes first.
+    reached, steps = np.full(budget + 1, -1, np.int64), [(-1, 0)]
+    reached[0] = 0
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        left, n = min(counts[i], budget // sizes[i]), 1
+        while left and reached[budget] < 0:
+            n = min(n, left)
+            by = n * sizes[i]
+            new = np.flatnonzero((reached[:-by] >= 0) & (reached[by:] < 0)) if by <= budget else np.empty(0, np.int64)
+            reached[new + by] = len(steps)
+            steps.append((i, n))
+            left, n = left - n, 2 * n
+    take, at = [0] * len(sizes), int(np.flatnonzero(reached >= 0)[-1])
+    while at:
+        i, n = steps[reached[at]]
+        take[i] += n
+        at -= n * sizes[i]
+    return take
+
+
 def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each size to take so that they sum to the budget, or to the largest sum below it that is found."""
+    """How many of each size to take so that they sum to the budget, or to the largest sum below it that can be reached."""
     total = sum(s * c for s, c in zip(sizes, counts, strict=True))
     if budget >= total:
         return list(counts)
-    take = [c * budget // total if s else 0 for s, c in zip(sizes, counts, strict=True)]
-    rest = budget - sum(s * t for s, t in zip(sizes, take, strict=True))
-    by_size = sorted((i for i, s in enumerate(sizes) if s), key=lambda i: -sizes[i])
-    for i in by_size:
-        if rest <= KNAPSACK:
-            break
-        n = min(counts[i] - take[i], (rest - KNAPSACK // 2) // sizes[i])
-        if n > 0:
-            take[i] += n
-            rest -= n * sizes[i]
-    mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
-    for i in by_size:
-        left, n = min(counts[i] - take[i], rest // sizes[i]), 1
-        while left and not reach >> rest & 1:
-            n = min(n, left)
-            steps.append((i, n, reach))
-            reach |= reach << n * sizes[i] & mask
-            left, n = left - n, 2 * n
-        if reach >> rest & 1:
-            break
-    at = reach.bit_length() - 1
-    for i, n, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += n
-            at -= n * sizes[i]
-    return take
+    some = [i for i, s in enumerate(sizes) if s and counts[i]]
+    part = math.gcd(*[sizes[i] for i in some])
+    size, count = [sizes[i] // part for i in some], [counts[i] for i in some]
+    budget, total, free = budget // part, total // part, FIRST
+    while True:
+        take = [c * max(0, budget - free) // total for c in count]
+        rest = budget - sum(s * t for s, t in zip(size, take, strict=True))
+        if free < budget:  # the largest sizes take what is above
+            for i in sorted(range(len(size)), key=lambda i: -size[i]):
+                n = max(0, min(count[i] - take[i], (rest - free // 2) // size[i]))
+                take[i] += n
+                rest -= n * size[i]
+        more = best_sum(size, [c - t for c, t in zip(count, take, strict=True)], rest)
+        rest -= sum(s * m for s, m in zip(size, more, strict=True))
+        if not rest or free >= budget:
+            out = [0] * len(sizes)
+            for i, t, m in zip(some, take, more, strict=True):
+                out[i] = t + m
+            return out
+        free *= MORE
 
 
 def _pick(g: pd.DataFrame, most: int) -> pd.DataFrame:
@@ -98,7 +121,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     sized = written(docs.select(*[F.col(row_col).alias(r) for r in row], F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), (word_count(F.col(text_col)) if size is None else size).cast("long").alias("size")), "mix-sizes")
     spark = docs.sparkSession
     cells = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
-    # One row per source: as many as the mix has weights to give, so a bounded number.
+    # One row per source.
     totals = sorted(((r["source"], int(r["total"])) for r in cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     wanted = targets([t for _, t in totals], [weights[i % len(weights)] for i in range(len(totals))], most)
     goal = spark.createDataFrame([(s, x) for (s, _), x in zip(totals, wanted, strict=True)], "source string, target double")

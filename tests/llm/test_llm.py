@@ -493,7 +493,28 @@ def test_targets_and_fit():
         for s, c in zip(sizes, counts, strict=True):
             reach |= {x + k * s for x in reach for k in range(c + 1)}
         got = sum(s * t for s, t in zip(sizes, take, strict=True))
-        assert got <= budget and budget - got <= 40 and (got in reach)
+        assert got == max(x for x in reach if x <= budget)
+
+
+def test_fit_revises_the_share(monkeypatch):
+    """The best sum, where the share that was fixed first must be given back."""
+    monkeypatch.setattr(mixing, "FIRST", 4)
+    r = random.Random(7)
+    for _ in range(300):
+        sizes = r.sample(range(0, 90), r.randint(1, 5))
+        sizes = [s * r.choice([1, 1, 6]) for s in sizes] if r.random() < 0.5 else [6 * s for s in sizes]
+        sizes, counts = sorted(set(sizes)), [r.randint(1, 30) for _ in set(sizes)]
+        budget, reach = r.randint(0, sum(s * c for s, c in zip(sizes, counts, strict=True))), {0}
+        for s, c in zip(sizes, counts, strict=True):
+            reach |= {x + k * s for x in reach for k in range(c + 1)}
+        take = mixing.fit(sizes, counts, budget)
+        assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
+        assert sum(s * t for s, t in zip(sizes, take, strict=True)) == max(x for x in reach if x <= budget)
+    # Many documents: the first programme is enough, and sizes are taken by their share.
+    monkeypatch.setattr(mixing, "FIRST", 1 << 15)
+    sizes, counts = list(range(1, 3000)), [1_000_000] * 2999
+    take = mixing.fit(sizes, counts, 10**12 + 7)
+    assert sum(s * t for s, t in zip(sizes, take, strict=True)) == 10**12 + 7 and max(take) - min(take) < 1000
 
 
 def test_oracle(spark, sf):
