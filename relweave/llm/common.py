@@ -21,15 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none (tests), a temporary one is set."""
+    """The folder that driver and executors share. Where the session names none, a temporary one is set if all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="relweave-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def new_column(df: DataFrame, name: str) -> None:
+    """Raises where a column that an operator adds would replace one that is there."""
+    if name.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {name!r} already; give the operator another name to write to")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder as Parquet and read again: the lineage ends here, and the files
     outlive any executor."""

@@ -2,15 +2,18 @@
 
 Voters are lexicons (words, and stems that stand for all words beginning with them) and patterns. A small general lexicon is
 given; further words and stems are proposed from a bounded sample of labelled rows, as those much more frequent in toxic texts.
-A generative label model then estimates each voter's rate of firing on toxic and clean texts by expectation maximisation, and
-the correlation of voters beyond that; voters that fire together share one vote. Its posteriors, not the labels, train a linear
-classifier on the votes, which scores every text in one pass over its words.
-
-Bounds: the sample is ``SAMPLE`` labelled rows at most, chosen by hash of their ids, and is fitted on the driver; voters are at
-most ``VOTERS``. Everything else covers all rows. Inputs of a score are the text only.
-
-Cases: a null text counts as empty and scores the classifier's bias; without enough labels of both kinds the given lexicon is
-used with fixed weights; labels of null ids or null label are not used; repeated rows stay repeated.
+A generative label model then estimates, from the votes alone, how often each voter fires on toxic and on clean texts and the pairwise correlations of voters within a class, by expectation maximisation; the labels are no vote and no start of it.
+Its posteriors, not the labels, train a linear classifier on the votes, which scores every text in one pass over its words. Labels
+come in for choosing voters and for calibration: the share of toxic texts, and a last shift of the classifier's bias to where it agrees best with the sample.
+
+Bounds: the sample is ``SAMPLE`` labelled rows and ``SAMPLE_CHARS`` code points at most, chosen by hash of their ids, and is fitted on
+the driver; voters are at most ``VOTERS``. Everything else covers all rows. Inputs of a score are the text only.
+
+Cases: a null text counts as empty and scores the classifier's bias; without enough labels of both kinds (or any: empty tables) the
+given lexicon is used with fixed weights; labels of null ids or null label are not used; an id that is labelled repeatedly has
+its greatest label; of documents that share an id one is learnt from (the least by hash of the text), and each has its own
+score; a text longer than what is left of ``SAMPLE_CHARS`` is not learnt from but scored whole; ties among proposals go by
+spelling; an empty table gives no rows; extra columns stay, but a column named as the score is an error.
 """
 
 from __future__ import annotations
@@ -25,14 +28,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, VOTERS = 6_000, 64
-#: Given lexicons.
+from relweave.llm.common import new_column, written
+
+SAMPLE, SAMPLE_CHARS, VOTERS = 6_000, 64_000_000, 64
+#: Given lexicons, fixed values: several families a language, each a voter.
 LEXICONS = {
-    "abuse": ["idiot", "idiots", "moron", "morons", "imbecile", "stupid", "dumb", "loser", "losers", "clown", "scum", "trash", "garbage", "worthless", "pathetic", "disgusting", "vermin", "filth"],
+    "stupidity": ["idiot", "idiots", "moron", "morons", "imbecile", "stupid", "dumb"],
+    "contempt": ["loser", "losers", "clown", "pathetic", "worthless"],
+    "filth": ["scum", "trash", "garbage", "disgusting", "vermin", "filth"],
     "hostility": ["hate", "hateful", "despise", "loathe", "kill", "die", "destroy"],
-    "abuse, German": ["idiot", "dumm", "dummkopf", "trottel", "abschaum", "widerlich", "wertlos", "arschloch"],
-    "abuse, French": ["idiot", "imbécile", "stupide", "crétin", "connard", "ordure", "pathétique", "dégoûtant"],
-    "abuse, Spanish": ["idiota", "imbécil", "estúpido", "basura", "escoria", "patético", "asqueroso", "inútil"],
+    "stupidity, German": ["dumm", "dummkopf", "trottel"],
+    "contempt, German": ["abschaum", "widerlich", "wertlos", "arschloch"],
+    "stupidity, French": ["imbécile", "stupide", "crétin"],
+    "contempt, French": ["connard", "ordure", "pathétique", "dégoûtant"],
+    "stupidity, Spanish": ["idiota", "imbécil", "estúpido"],
+    "contempt, Spanish": ["basura", "escoria", "patético", "asqueroso", "inútil"],
 }
 PATTERNS = {"shouting": r"\b[A-Z]{4,}(?: [A-Z]{4,}){2,}", "exclamation": r"!{2,}", "second person": r"(?i)\byou(?:'re| are) (?:an? |so |such )"}
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -92,7 +102,7 @@ def propose(texts: list[str], toxic: np.ndarray) -> list[str]:
     for t, y in zip(texts, toxic, strict=True):
         (bad if y else good).update(features(t))
     nb, ng = int(toxic.sum()), int((~toxic).sum())
-    lift = {f: np.log((c + 0.5) / (nb + 1)) - np.log((good[f] + 0.5) / (ng + 1)) for f, c in bad.items() if c >= max(5, 0.025 * nb)}
+    lift = {f: np.log((c + 0.5) / (nb + 1)) - np.log((good[f] + 0.5) / (ng + 1)) for f, c in bad.items() if c >= max(5, 0.015 * nb)}
     found: list[str] = []
     for f in sorted((f for f, x in lift.items() if x >= 2.5), key=lambda f: (-bad[f] * lift[f], f)):
         if not any(f.startswith(g.rstrip("*")) or g.startswith(f.rstrip("*")) for g in found):
@@ -102,27 +112,47 @@ def propose(texts: list[str], toxic: np.ndarray) -> list[str]:
     return found
 
 
-def label_model(votes: np.ndarray, annotator: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior of the positive class from votes (0 or 1 per voter).
+@dataclass
+class LabelModel:
+    """Rates of firing on the positive class and on the other, correlations within classes, the positive share, and posteriors."""
+
+    fires: np.ndarray
+    false: np.ndarray
+    corr: np.ndarray
+    prior: float
+    posterior: np.ndarray
+
+    @property
+    def accuracy(self) -> np.ndarray:
+        """How often each voter is right."""
+        return self.prior * self.fires + (1 - self.prior) * (1 - self.false)
 
-    Rates of firing by class are re-estimated in turn with posteriors. Voters that correlate within classes are counted less:
-    each one's evidence is divided by one plus the sum of its positive correlations. The annotator's label is a voter as well, by
-    which the classes begin; its evidence is bounded but never shared.
+
+def label_model(votes: np.ndarray, balance: float, rounds: int = 50) -> LabelModel:
+    """Fits the generative model to votes (0 or 1 per voter; voting means positive), without labels but for the class balance.
+
+    Rates by class are re-estimated in turn with posteriors. Pairwise correlations within classes are those of what the rates leave
+    over, where they stand out from chance; evidence is weighed by the inverse of their matrix, by which voters that say the same
+    thing, or know the same language, count once. It begins with the texts for which two voters fire.
     """
-    p = np.where(annotator, 0.9, 0.05)
+    (n, m), prior = votes.shape, float(np.clip(balance, 0.001, 0.999))
+    p = 1 / (1 + np.exp(-2.0 * (votes.sum(axis=1) - 1.5)))
+    corr = np.eye(m)
     for _ in range(rounds):
-        a, b = (p @ votes + 1) / (p.sum() + 2), ((1 - p) @ votes + 0.5) / ((1 - p).sum() + 1)
-        rest = votes - np.outer(p, a) - np.outer(1 - p, b)
-        cov = rest.T @ rest / len(votes)
+        fires, false = (p @ votes + 0.5) / (p.sum() + 1), ((1 - p) @ votes + 0.5) / ((1 - p).sum() + 1)
+        rest = votes - np.outer(p, fires) - np.outer(1 - p, false)
+        cov = rest.T @ rest / n
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        corr = np.clip(cov / np.outer(sd, sd), 0, 1)
-        share = 1 / np.maximum(1, corr.sum(axis=1))
-        prior = np.clip(p.mean(), 0.005, 0.5)
-        hit, false = np.clip([(p @ annotator + 1) / (p.sum() + 2), ((1 - p) @ annotator + 1) / ((1 - p).sum() + 2)], 0.02, 0.98)
-        told = np.where(annotator, np.log(hit / false), np.log((1 - hit) / (1 - false)))
-        evidence = votes * np.log(a / b) + (1 - votes) * np.log((1 - a) / (1 - b))
-        p = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence @ share + told, -30, 30)))
-    return p
+        corr = np.clip(cov / np.outer(sd, sd), -1, 1)
+        corr = np.where(np.abs(corr) > 4 / np.sqrt(n), corr, 0.0)
+        np.fill_diagonal(corr, 1.0)
+        share = np.clip(np.linalg.solve(corr + 0.1 * np.eye(m), np.full(m, 1.1)), 0.05, 1.0)
+        evidence = (votes * np.log(fires / false) + (1 - votes) * np.log((1 - fires) / (1 - false))) @ share
+        new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence, -30, 30)))
+        moved, p = np.abs(new - p).max(), new
+        if moved < 1e-6:
+            break
+    return LabelModel(fires, false, corr, prior, p)
 
 
 def linear(x: np.ndarray, p: np.ndarray, l2: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -148,28 +178,45 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         model.weights = np.append(np.zeros(model.n), [5.0, -3.0])
         return model
     x = model.votes(texts)
-    p = label_model(x[:, :-1], toxic)
-    model.weights = linear(x, p)
+    model.weights = linear(x, label_model(x[:, :-1], toxic.mean()).posterior)
+    model.weights[-1] += shift(x @ model.weights[:-1] + model.weights[-1], toxic)
     return model
 
 
+def shift(scores: np.ndarray, toxic: np.ndarray) -> float:
+    """What to add to the scores so that their sign agrees with the most labels; nothing, if that is as good."""
+    order = np.argsort(-scores)
+    s, y = scores[order], toxic[order]
+    right = np.concatenate([[0], np.cumsum(np.where(y, 1, -1))])  # with the first so many called toxic, beside a constant
+    cut = np.concatenate([[s[0] + 1], (s[:-1] + s[1:]) / 2, [s[-1] - 1]])
+    right[1:-1][s[:-1] == s[1:]] = -len(s)
+    best = np.flatnonzero(right == right.max())
+    if right[np.searchsorted(-s, 0.0)] == right.max():
+        return 0.0
+    return float(-cut[best[np.argmin(np.abs(cut[best]))]])
+
+
 def held_out(id_: Column) -> Column:
     """Rows whose labels are never learnt from."""
     return F.pmod(F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fits on at most ``sample`` labelled rows that aren't held out."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """Fits on at most ``sample`` labelled rows that aren't held out, of ``chars`` code points together at most."""
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    ids = usable.select(F.col(id_col).alias("lid"), (F.col(label_col) == 1).alias("y")).orderBy(F.xxhash64("lid"), "lid").limit(sample)
+    ids = usable.groupBy(F.col(id_col).alias("lid")).agg(F.max(F.col(label_col) == 1).alias("y")).orderBy(F.xxhash64("lid"), "lid").limit(sample)
     # At most ``sample`` narrow rows, so a broadcast of bounded size.
-    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("lid")).select("lid", F.coalesce(F.col(text_col), F.lit("")).alias("t"), "y").toPandas()
-    rows = rows.sort_values(["lid", "t"]).head(sample)
+    found = docs.select(F.col(id_col).alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), F.col("did") == F.col("lid"))
+    found = written(found.groupBy("lid", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t")), "toxicity-sample")
+    sizes = found.select("lid", F.length("t").alias("n")).orderBy(F.xxhash64("lid"), "lid").toPandas()
+    inside = sizes[sizes["n"].cumsum() <= chars]["lid"].tolist()
+    rows = found.where(F.col("lid").isin(inside)).orderBy("lid").toPandas()
     return fit(rows["t"].tolist(), rows["y"].to_numpy(dtype=bool))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
     """The rows of docs with a column ``into`` from 0 to 1."""
+    new_column(docs, into)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

@@ -327,7 +327,7 @@ def test_toxicity(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7)))
     rows = [(i, " ".join(word() for _ in range(r.randint(20, 80))) + (f" zorg{word()} " if i % 6 == 0 else " ") + word(), int(i % 6 == 0)) for i in range(900)]
-    docs = spark.createDataFrame([*[(i, t) for i, t, _ in rows], (5000, None), (5001, ""), (None, "you idiot")], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    docs = spark.createDataFrame([*[(i, t) for i, t, _ in rows], (5000, None), (5001, ""), (None, "you idiot")], "doc_id long, text string").withColumn("lid", F.lit("clash"))
     labels = spark.createDataFrame([*[(i, 1, y) for i, _, y in rows], (None, 1, 1), (77777, 0, None)], "doc_id long, quality int, toxic int")
     model = toxicity.learn(docs, labels)
     got = {x["doc_id"]: (x["score"], x["out"]) for x in toxicity.score(docs, model).withColumn("out", toxicity.held_out(F.col("doc_id"))).collect()}
@@ -389,6 +389,47 @@ def brute_compare(a, b):
     return min(0.999, 2.0 * like / total), tuple([at for at, _, _ in s] for s in sides)
 
 
+def test_toxicity_finds_planted_voters():
+    """Rates and correlations of voters that were drawn by the model, without any label."""
+    r = np.random.default_rng(3)
+    n, y = 20_000, r.random(20_000) < 0.2
+    fires, false = np.array([0.6, 0.5, 0.4, 0.7, 0.3, 0.05]), np.array([0.02, 0.05, 0.01, 0.1, 0.02, 0.05])
+    votes = (r.random((n, 6)) < np.where(y[:, None], fires, false)).astype(float)
+    votes = np.hstack([votes, np.where(r.random((n, 1)) < 0.95, votes[:, :1], 1 - votes[:, :1])])  # a voter that repeats the first
+    found = toxicity.label_model(votes, 0.2)
+    # The pair that repeats itself pulls the classes its own way, but not as far as two voters would.
+    assert np.abs(found.fires[1:6] - fires[1:]).max() < 0.1 and np.abs(found.fires[0] - fires[0]) < 0.2 and np.abs(found.false[:6] - false).max() < 0.05
+    assert np.abs(found.accuracy[:6] - (0.2 * fires + 0.8 * (1 - false))).max() < 0.06
+    assert found.corr[0, 6] > 0.5 and np.abs(found.corr[1:6, 1:6] - np.eye(5)).max() < 0.25
+    assert ((found.posterior >= 0.5) == y).mean() > 0.94
+
+
+def test_toxicity_bounds(spark):
+    docs = spark.createDataFrame([*[(1, f"text {i}") for i in range(2000)], *[(i, "x" * 1000) for i in range(2, 60)]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0)], "doc_id long, toxic int")
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "fit", lambda texts, toxic: seen.append((len(texts), sum(map(len, texts)))))
+        toxicity.learn(docs, labels, sample=20)
+        toxicity.learn(docs, labels, chars=5_500)
+    assert seen[0][0] <= 20 and seen[1][1] <= 5_500 and seen[1][0] >= 5
+    with pytest.raises(ValueError, match="score"):
+        toxicity.score(docs.withColumn("score", F.lit(1)), toxicity.fit([], np.zeros(0, bool)))
+
+
+def test_toxicity_shift():
+    assert toxicity.shift(np.array([3.0, 1.0, -1.0]), np.array([True, True, False])) == 0.0
+    assert toxicity.shift(np.array([3.0, 1.0, 0.5, -1.0]), np.array([True, False, False, False])) == -2.0
+    assert toxicity.shift(np.array([-1.0, -2.0]), np.array([True, False])) == 1.5
+
+
+def test_toxicity_held_out(spark, sf):
+    """Held-out labels of the whole table at sf0.01 or what there is."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.learn(docs, labels)).where(toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id").select("score", "toxic").collect()
+    assert len(scored) > 5 and np.mean([(r["score"] >= 0.5) == (r["toxic"] == 1) for r in scored]) >= 0.85
+
+
 def test_merkle(docs, by_id):
     some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     got = {r["doc_id"]: r for r in merkle.compare_with_next(some).collect()}
