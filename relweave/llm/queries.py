@@ -41,7 +41,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"), secrets.listed_links(F.col("links")).alias("links"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.oracle(CONTROL), "op2_line_dedup": lines.oracle(), "op7_minhash": minhash.oracle()}
+    return {"op1_chat_formatting": chat.oracle(CONTROL), "op2_line_dedup": lines.oracle(), "op4_secret_scan": secrets.oracle(), "op7_minhash": minhash.oracle(), "op9_fingerprints": merkle.oracle()}
