@@ -131,6 +131,8 @@ def _text(left: Column, op: str, value: Any, options: dict) -> Column:
 
 def _by_field(left: Column, op: str, right: Column, options: dict) -> Column:
     if op in _TEXT:
+        # The field's % and _ are wildcards, its backslashes are literal; null counts as the empty string.
+        right = F.replace(right.cast("string"), F.lit("\\"), F.lit("\\\\"))
         pattern = F.concat_ws("", *([F.lit("%")] if op != "starts_with" else []), right, *([F.lit("%")] if op != "ends_with" else []))
         return F.ilike(left, pattern) if _insensitive(options) else F.like(left, pattern)
     if options or op not in _ORDER:

@@ -90,14 +90,16 @@ def hop_join(left: DataFrame, left_key: Column, right: DataFrame, right_key: Col
     return left.join(right, condition if on is None else condition & on, how)
 
 
-def join_node(df: DataFrame, tree: Tree, node: Node, spark: SparkSession, how: str, on: Callable[[DataFrame, list[str]], Column | None] = lambda *_: None) -> DataFrame:
-    """Joins an association's rows; a through or many-to-many edge is a chain whose inner tables leave no columns."""
+def join_node(df: DataFrame, tree: Tree, node: Node, spark: SparkSession, how: str, on: Callable[[DataFrame, list[str]], Column | None] = lambda *_: None, prepare: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """Joins an association's rows, which ``prepare`` may add columns to; a through or many-to-many edge is a chain whose inner
+    tables leave no columns."""
     registry, at, hidden = tree.registry, node.parent.prefix, []
     hops = registry.hops(node.parent.schema, node.path[-1])
     for i, (_, a) in enumerate(hops):
         last = i == len(hops) - 1
         prefix = node.prefix if last else f"{node.prefix}#{i}/"
         right = prefixed(registry.frame(spark, a.related), prefix, last)
+        right = prepare(right) if last else right
         key = col(at + a.owner_key)
         if a.kind == "many_to_many":
             table, owner, related = a.link
@@ -120,7 +122,7 @@ def source(query, spark: SparkSession) -> DataFrame:
 
 class Planner:
     def __init__(self, query, spark: SparkSession):
-        self.query, self.spark, self.registry = query, spark, query.registry
+        self.query, self.spark, self.registry, self.flags = query, spark, query.registry, 0
 
     def stages(self, ops: list) -> list[list]:
         out = [[]]
@@ -169,13 +171,23 @@ class Planner:
             else:
                 raise QueryError(f"join filters of {'.'.join(todo[0].path)} wait for one another")
             how = {"any": left_default}.get(n.qualifier, n.qualifier)
+            # NOT IN a subquery: a flag on the side that has the field.
+            flagged = {id(e): (tree.find(e[0]), f"#in{self.flag()}") for f, gs in n.on for g in (f, *gs) for e in g if self.is_not_in(e)}
+            entries = {id(e): e for f, gs in n.on for g in (f, *gs) for e in g}
 
-            def on(left: DataFrame, names: list[str], n=n) -> Column | None:
+            def flags(rows: DataFrame, own: bool, flagged=flagged, entries=entries, n=n) -> DataFrame:
+                for k, ((node, name), flag) in flagged.items():
+                    if (node is n) == own:
+                        rows = self.with_flag(rows, col(node.column(name)), entries[k], flag)
+                return rows
+
+            def on(left: DataFrame, names: list[str], n=n, flagged=flagged) -> Column | None:
                 stage = Stage(tree, left, names=names)
-                found = [c for f, gs in n.on if (c := any_of([f, *gs], stage.resolve, stage.cast)) is not None]
+                told = lambda g: [(lambda _, f=flagged[id(e)][1]: col(f)) if id(e) in flagged else e for e in g]
+                found = [c for f, gs in n.on if (c := any_of([told(g) for g in (f, *gs)], stage.resolve, stage.cast)) is not None]
                 return reduce(lambda a, b: a & b, found) if found else None
 
-            df = join_node(df, tree, n, self.spark, how, on)
+            df = join_node(flags(df, False), tree, n, self.spark, how, on, lambda right, flags=flags: flags(right, True))
             done.add(n.path)
             todo = [x for x in todo if x is not n]
         return df
@@ -187,7 +199,7 @@ class Planner:
             if op.kind == "where":
                 given = [g for g in op.data["groups"] if g]
                 absent = [e for e in given[0] if self.is_not_in(e)] if len(given) == 1 else []
-                given = [[e for e in given[0] if not self.is_not_in(e)]] if absent else given
+                given = [[e for e in given[0] if not self.is_not_in(e)]] if absent else self.unnested(stage, given)
                 if (c := any_of(given, stage.resolve, stage.cast)) is not None:
                     stage.df = stage.df.where(c)
                 for e in absent:
@@ -205,18 +217,45 @@ class Planner:
 
         return isinstance(e, tuple) and len(e) == 3 and e[1] == "not_in" and isinstance(e[2], Query)
 
-    def not_in(self, stage: Stage, e: tuple) -> DataFrame:
-        """NOT IN a subquery as an anti join on equal keys and one scalar about nulls: the optimiser's own null-aware join would
-        broadcast the subquery whatever its size."""
+    def values(self, e: tuple) -> tuple[DataFrame, Column]:
+        """A NOT IN's subquery as a column #in, and what its nulls say: empty, whole (it has none) or nulls."""
         found = e[2].to_df(self.spark)
         if len(found.columns) != 1:
             raise BuildError(f"not_in: a subquery must select one field, this one has {len(found.columns)}")
-        found, left = found.toDF("#in"), stage.resolve(e[0])
+        found = found.toDF("#in")
         nulls = F.count_if(col("#in").isNull())
-        state = found.agg(F.when(F.count("*") == 0, "empty").when(nulls == 0, "whole").otherwise("nulls").alias("state")).scalar()
+        return found, found.agg(F.when(F.count("*") == 0, "empty").when(nulls == 0, "whole").otherwise("nulls").alias("state")).scalar()
+
+    def not_in(self, stage: Stage, e: tuple) -> DataFrame:
+        """NOT IN a subquery as an anti join on equal keys and one scalar about nulls: the optimiser's own null-aware join would
+        broadcast the subquery whatever its size."""
+        (found, state), left = self.values(e), stage.resolve(e[0])
         rest = stage.df.join(found, left == col("#in"), "left_anti")
         return rest.where((state == "empty") | (state == "whole") & left.isNotNull())
 
+    def flag(self) -> int:
+        self.flags += 1
+        return self.flags
+
+    def with_flag(self, df: DataFrame, left: Column, e: tuple, flag: str) -> DataFrame:
+        """A column that tells whether a NOT IN holds, from a left join with the distinct values."""
+        found, state = self.values(e)
+        joined = df.join(found.where(col("#in").isNotNull()).distinct(), left == col("#in"), "left")
+        return joined.withColumn(flag, (state == "empty") | (state == "whole") & left.isNotNull() & col("#in").isNull()).drop("#in")
+
+    def unnested(self, stage: Stage, groups: list[list]) -> list[list]:
+        """The groups with each NOT IN a subquery as a flag that is joined to the stage's rows."""
+        out = []
+        for g in groups:
+            out.append([])
+            for e in g:
+                if self.is_not_in(e):
+                    flag = f"#in{self.flag()}"
+                    stage.df = self.with_flag(stage.df, stage.resolve(e[0]), e, flag)
+                    e = lambda _, flag=flag: col(flag)
+                out[-1].append(e)
+        return out
+
     # Grouping
 
     def group(self, stage: Stage, ops: list) -> None:
@@ -299,9 +338,10 @@ class Planner:
             inner = self.joins(prefixed(source(self.query, self.spark), "/"), tree)
             keys = [("/" + k, "/" + k) for k in schema.primary_key]
         stage = Stage(tree, inner)
-        conditions = [all_of(p, stage.resolve, stage.cast) for p in (op.data["scope"], op.data["where"]) if p]
-        if (c := any_of(op.data["where_any"], stage.resolve, stage.cast)) is not None:
+        conditions = [all_of(p, stage.resolve, stage.cast) for p in self.unnested(stage, [op.data["scope"], op.data["where"]]) if p]
+        if (c := any_of(self.unnested(stage, op.data["where_any"]), stage.resolve, stage.cast)) is not None:
             conditions.append(c)
+        inner = stage.df
         for c in conditions:
             inner = inner.where(c)
         inner = inner.select(*[col(k).alias(f"#exists{i}") for i, (_, k) in enumerate(keys)])

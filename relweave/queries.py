@@ -89,6 +89,14 @@ def where_field_across_join(db):
     return db.query("orders").where("customer", [text, ("o_totalprice", "gt", self_("c_acctbal@customer"))]).select("o_orderkey")
 
 
+@query("SELECT o.o_orderkey, l.l_linenumber FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus LIKE concat(l.l_returnflag, '%') OR o.o_orderpriority ILIKE concat('%', l.l_linestatus, '%') OR o.o_orderstatus LIKE concat('%', l.l_linestatus)")
+def where_field_text(db):
+    starts = [("o_orderstatus", "starts_with", self_("l_returnflag@lineitems"))]
+    holds = [("o_orderpriority", "contains", self_("l_linestatus@lineitems"), {"case": "insensitive"})]
+    ends = [("o_orderstatus", "ends_with", self_("l_linestatus@lineitems"))]
+    return db.query("orders").where_any("lineitems", [starts, holds, ends]).select({"o_orderkey": "o_orderkey", "l_linenumber": "l_linenumber@lineitems"})
+
+
 @query("SELECT s.s_suppkey, n.n_name FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE lower(s.s_name) LIKE '%' || right(n.n_name, 1)")
 def where_custom_function(db):
     match = lambda resolve: F.lower(resolve("s_name")).endswith(F.right(resolve("n_name@nation"), F.lit(1)))
@@ -112,6 +120,18 @@ def where_not_in_subquery(db):
     return db.query("customer").where(("c_custkey", "not_in", db.query("events").subquery({"select": "user_id"}))).select("c_custkey")
 
 
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase') OR c_acctbal > 9000 AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
+def where_not_in_or(db):
+    bought, poor = db.query("events").where(("event_type", "purchase")).select("user_id"), db.query("supplier").where(("s_acctbal", "lt", 0)).select("s_nationkey")
+    return db.query("customer").where_any([[("c_custkey", "not_in", bought)], [("c_acctbal", "gt", 9000), ("c_nationkey", "not_in", poor)]]).select("c_custkey")
+
+
+@query("SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND (o.o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') OR o.o_totalprice > 300000)")
+def join_left_on_not_in(db):
+    returned = db.query("lineitem").where(("l_returnflag", "R")).select("l_orderkey")
+    return db.query("customer").left_join("orders", [("o_orderkey@orders", "not_in", returned)], or_=[[("o_totalprice@orders", "gt", 300000)]]).select({"c_custkey": "c_custkey", "o_orderkey": "o_orderkey@orders"})
+
+
 @query("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P' AND o.o_totalprice > 150000)")
 def where_has(db):
     return db.query("customer").where_has("orders", [("o_orderstatus@orders", "P"), ("o_totalprice@orders", "gt", 150000)]).select("c_custkey")
@@ -148,19 +168,19 @@ def join_inner(db):
     return db.query("customer").inner_join("events").where(("event_type@events", "purchase")).select({"c_custkey": "c_custkey", "event_id": "event_id@events"})
 
 
-@query("SELECT c.c_custkey, e.event_id FROM customer c LEFT JOIN events e ON e.user_id = c.c_custkey AND (e.event_type = 'error' OR e.value > 90) WHERE c.c_nationkey = 4")
+@query("SELECT c.c_custkey, e.event_id FROM customer c LEFT JOIN events e ON e.user_id = c.c_custkey AND (e.event_type = 'error' OR e.value > 90)")
 def join_left_on(db):
-    return db.query("customer").left_join("events", [("event_type@events", "error")], or_=[[("value@events", "gt", 90)]]).where(("c_nationkey", 4)).select({"c_custkey": "c_custkey", "event_id": "event_id@events"})
+    return db.query("customer").left_join("events", [("event_type@events", "error")], or_=[[("value@events", "gt", 90)]]).select({"c_custkey": "c_custkey", "event_id": "event_id@events"})
 
 
-@query("SELECT n.n_name, c.c_custkey, e.event_id FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN events e ON e.user_id = c.c_custkey AND e.event_type = 'view' WHERE n.n_nationkey < 5")
+@query("SELECT n.n_name, c.c_custkey, e.event_id FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN events e ON e.user_id = c.c_custkey AND e.event_type = 'view'")
 def join_left_leaf(db):
-    return db.query("nation").left_join_leaf({"customers": "events"}, [("event_type@events", "view")]).where(("n_nationkey", "lt", 5)).select({"n_name": "n_name", "c_custkey": "c_custkey@customers", "event_id": "event_id@events"})
+    return db.query("nation").left_join_leaf({"customers": "events"}, [("event_type@events", "view")]).select({"n_name": "n_name", "c_custkey": "c_custkey@customers", "event_id": "event_id@events"})
 
 
-@query("SELECT c.c_custkey, o.o_orderkey, l.l_quantity FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_quantity > 48 WHERE c.c_nationkey = 7")
+@query("SELECT c.c_custkey, o.o_orderkey, l.l_quantity FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_quantity > 48")
 def join_left_path(db):
-    return db.query("customer").left_join_path({"orders": "lineitems"}, [("l_quantity@lineitems", "gt", 48)]).where(("c_nationkey", 7)).select({"c_custkey": "c_custkey", "o_orderkey": "o_orderkey@orders", "l_quantity": "l_quantity@lineitems"})
+    return db.query("customer").left_join_path({"orders": "lineitems"}, [("l_quantity@lineitems", "gt", 48)]).select({"c_custkey": "c_custkey", "o_orderkey": "o_orderkey@orders", "l_quantity": "l_quantity@lineitems"})
 
 
 @query("SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_totalprice > 450000")
@@ -173,14 +193,29 @@ def join_has_through(db):
     return db.query("nation").group_by("customer_orders", "n_name").select({"n_name": "n_name", "n_orders": count("o_orderkey@customer_orders")})
 
 
-@query("SELECT c_custkey AS _1, c_name AS _2, 7 AS _3, 'x' AS _4 FROM customer WHERE c_nationkey = 2")
+@query("SELECT s.s_suppkey, count(p.p_partkey) AS n FROM supplier s LEFT JOIN lineitem l ON l.l_suppkey = s.s_suppkey LEFT JOIN part p ON p.p_partkey = l.l_partkey GROUP BY s.s_suppkey")
+def join_many_to_many(db):
+    return db.query("supplier").group_by("parts", "s_suppkey").select({"s_suppkey": "s_suppkey", "n": count("p_partkey@parts")})
+
+
+@query("SELECT count(DISTINCT o_custkey) AS count FROM orders")
+def select_aggregate(db):
+    return db.query("orders").select(count_distinct("o_custkey"))
+
+
+@query("SELECT o_orderkey AS key, o_totalprice > 200000 AS dear FROM orders")
+def select_function(db):
+    return db.query("orders").select(lambda r: {"key": r("o_orderkey"), "dear": r("o_totalprice") > 200000})
+
+
+@query("SELECT c_custkey AS _1, c_name AS _2, 7 AS _3, 'x' AS _4 FROM customer")
 def select_tuple(db):
-    return db.query("customer").where(("c_nationkey", 2)).select(("c_custkey", "c_name", 7, lit_("x")))
+    return db.query("customer").select(("c_custkey", "c_name", 7, lit_("x")))
 
 
-@query("SELECT c_custkey AS key, upper(c_mktsegment) AS segment, 1 AS one, c_acctbal AS balance FROM customer WHERE c_nationkey = 9")
+@query("SELECT c_custkey AS key, upper(c_mktsegment) AS segment, 1 AS one, c_acctbal AS balance FROM customer")
 def select_merge(db):
-    return db.query("customer").where(("c_nationkey", 9)).select({"key": "c_custkey", "segment": lambda r: F.upper(r("c_mktsegment"))}).select_merge({"one": lit_(1)}).select_merge({"balance": "c_acctbal"})
+    return db.query("customer").select({"key": "c_custkey", "segment": lambda r: F.upper(r("c_mktsegment"))}).select_merge({"one": lit_(1)}).select_merge({"balance": "c_acctbal"})
 
 
 @query("SELECT s.*, n.n_name AS nation FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey")
@@ -215,9 +250,9 @@ def group_by_function(db):
     return db.query("orders").group_by(year).select({"year": year, "n": count()})
 
 
-@query("SELECT c.c_custkey, c.c_name, c.c_nationkey, c.c_acctbal, c.c_mktsegment, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey WHERE c.c_nationkey = 3 GROUP BY ALL")
+@query("SELECT c.c_custkey, c.c_name, c.c_nationkey, c.c_acctbal, c.c_mktsegment, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY ALL")
 def group_by_primary_key(db):
-    return db.query("customer").where(("c_nationkey", 3)).group_by("orders", "c_custkey").select({k: k for k in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")} | {"n": count("o_orderkey@orders")})
+    return db.query("customer").group_by("orders", "c_custkey").select({k: k for k in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")} | {"n": count("o_orderkey@orders")})
 
 
 @query("""SELECT o_custkey, array_to_string(array_agg(o_orderkey ORDER BY o_totalprice DESC, o_orderkey), ',') AS keys,
@@ -276,9 +311,9 @@ def left_join_latest(db):
 
 
 @query("""SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN LATERAL
-(SELECT * FROM orders x WHERE x.o_custkey = c.c_custkey ORDER BY x.o_totalprice DESC, x.o_orderkey LIMIT 2) o ON true WHERE c.c_nationkey < 10""")
+(SELECT * FROM orders x WHERE x.o_custkey = c.c_custkey ORDER BY x.o_totalprice DESC, x.o_orderkey LIMIT 2) o ON true""")
 def left_join_top_n(db):
-    q = db.query("customer").where(("c_nationkey", "lt", 10)).left_join_top_n("orders", n=2, order_by=[("desc", "o_totalprice"), ("asc", "o_orderkey")])
+    q = db.query("customer").left_join_top_n("orders", n=2, order_by=[("desc", "o_totalprice"), ("asc", "o_orderkey")])
     return lambda spark: q.to_df(spark).select("customer.c_custkey", "orders.o_orderkey")
 
 
@@ -293,15 +328,15 @@ def _listed(df: DataFrame, key: str, array: str, field: str, out: str) -> DataFr
     return df.select(key, F.concat_ws(",", F.transform(array, lambda x: x[field].cast("string"))).alias(out))
 
 
-@query("SELECT c.c_custkey, coalesce(string_agg(o.o_orderkey::VARCHAR, ',' ORDER BY o.o_orderkey), '') AS keys FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey WHERE c.c_nationkey = 1 GROUP BY c.c_custkey")
+@query("SELECT c.c_custkey, coalesce(string_agg(o.o_orderkey::VARCHAR, ',' ORDER BY o.o_orderkey), '') AS keys FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey")
 def preload_separate(db):
-    q = db.query("customer").where(("c_nationkey", 1)).preload_separate(["orders", "nation"])
+    q = db.query("customer").preload_separate(["orders", "nation"])
     return lambda spark: _listed(q.to_df(spark), "c_custkey", "orders", "o_orderkey", "keys")
 
 
-@query("SELECT c.c_custkey, coalesce(string_agg(o.o_orderkey::VARCHAR, ',' ORDER BY o.o_totalprice DESC, o.o_orderkey), '') AS keys FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'O' WHERE c.c_nationkey = 1 GROUP BY c.c_custkey")
+@query("SELECT c.c_custkey, coalesce(string_agg(o.o_orderkey::VARCHAR, ',' ORDER BY o.o_totalprice DESC, o.o_orderkey), '') AS keys FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'O' GROUP BY c.c_custkey")
 def preload_separate_scoped(db):
-    q = db.query("customer").where(("c_nationkey", 1)).preload_separate_scoped("orders", where=[("o_orderstatus", "O")], order_by=[("desc", "o_totalprice"), ("asc", "o_orderkey")])
+    q = db.query("customer").preload_separate_scoped("orders", where=[("o_orderstatus", "O")], order_by=[("desc", "o_totalprice"), ("asc", "o_orderkey")])
     return lambda spark: _listed(q.to_df(spark), "c_custkey", "orders", "o_orderkey", "keys")
 
 
@@ -317,6 +352,27 @@ def preload_nested(db):
     return lambda spark: q.to_df(spark).select("r_regionkey", F.concat_ws(",", F.transform("nations", lambda n: F.concat_ws(":", n["n_nationkey"].cast("string"), F.size(n["suppliers"]).cast("string")))).alias("nations"))
 
 
+@query("""SELECT n.n_nationkey, string_agg(c.c_custkey || ':' || k, ',' ORDER BY c.c_custkey) AS customers FROM nation n
+JOIN (SELECT c.c_custkey, c.c_nationkey, count(o.o_orderkey) AS k FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey WHERE c.c_acctbal > 5000 GROUP BY ALL) c ON c.c_nationkey = n.n_nationkey GROUP BY n.n_nationkey""")
+def preload_mixed(db):
+    """The joined customers, and beneath them their orders from a query of their own."""
+    q = db.query("nation").inner_join("customers").where(("c_acctbal@customers", "gt", 5000)).preload_through_join("customers").preload_separate({"customers": "orders"})
+    return lambda spark: q.to_df(spark).select("n_nationkey", F.concat_ws(",", F.transform("customers", lambda c: F.concat_ws(":", c["c_custkey"].cast("string"), F.size(c["orders"]).cast("string")))).alias("customers"))
+
+
+@query("""SELECT c.c_custkey, coalesce(string_agg(o.o_orderkey::VARCHAR, ',' ORDER BY o.o_orderkey), '') AS keys
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) WHERE rn <= 2) c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey""")
+def preload_after_top_n(db):
+    q = db.query("customer").preload_separate("orders").top_n_per(partition_by="c_nationkey", order_by=[("desc", "c_acctbal"), ("asc", "c_custkey")], n=2)
+    return lambda spark: _listed(q.to_df(spark), "c_custkey", "orders", "o_orderkey", "keys")
+
+
+@query("SELECT s.s_suppkey, array_to_string(list_sort(array_agg(DISTINCT l.l_partkey) FILTER (l.l_partkey IS NOT NULL)), ',') AS parts FROM supplier s LEFT JOIN lineitem l ON l.l_suppkey = s.s_suppkey WHERE s.s_acctbal > 9000 GROUP BY s.s_suppkey")
+def preload_many_to_many(db):
+    q = db.query("supplier").where(("s_acctbal", "gt", 9000)).preload_separate("parts")
+    return lambda spark: _listed(q.to_df(spark), "s_suppkey", "parts", "p_partkey", "parts")
+
+
 def _page(spark: SparkSession, entries: list[dict], *columns: str) -> DataFrame:
     return spark.createDataFrame([tuple(e[c] for c in columns) for e in entries], ", ".join(f"{c} bigint" for c in columns))
 
@@ -362,6 +418,26 @@ def paginate_keys_first(db):
     return run
 
 
+@query("SELECT p_partkey, nullif(p_size % 5, 0) AS k FROM part ORDER BY k DESC NULLS FIRST, p_partkey DESC LIMIT 40 OFFSET 40")
+def paginate_nulls(db):
+    """The second page of an order whose first field has nulls, which the keyset predicate must step over; a field that is named
+    again orders nothing."""
+
+    def run(spark: SparkSession) -> DataFrame:
+        parts = spark.read.parquet(db["part"].source).withColumn("k", F.expr("cast(nullif(p_size % 5, 0) as bigint)"))
+        q = db.wrap("part", parts).order_by([("desc", "k"), ("desc", "p_partkey"), ("asc", "k")])
+        page = q.paginate(spark, page_size=40)
+        page = q.paginate(spark, page_size=40, cursor=page.pagination["cursor_for_entries_after"])
+        return _page(spark, page.entries, "p_partkey", "k")
+
+    return run
+
+
+@query("SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 100")
+def paginate_default_size(db):
+    return lambda spark: _page(spark, db.query("supplier").paginate(spark).entries, "s_suppkey")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 40")
 def paginate_offset(db):
     q = db.query("customer").where(("c_mktsegment", "BUILDING")).order_by([("desc", "c_acctbal")]).offset(40)
@@ -382,61 +458,30 @@ def from_opts_full(db):
     return db.query("customer").from_opts(options, "full")
 
 
-@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY length(text) DESC, conv_id, turn) AS rn FROM conversations) WHERE rn <= 5")
-def top_n_per_composite_key(db):
-    return db.query("conversations").top_n_per(partition_by="role", order_by=[("desc", lambda r: F.length(r("text"))), ("asc", "conv_id"), ("asc", "turn")], n=5).select(["conv_id", "turn"])
-
-
-# The operators that stand above over one nation or a few, over the whole tables.
-
-
-@query("SELECT c.c_custkey, e.event_id FROM customer c LEFT JOIN events e ON e.user_id = c.c_custkey AND (e.event_type = 'error' OR e.value > 90)")
-def join_left_on_all(db):
-    return db.query("customer").left_join("events", [("event_type@events", "error")], or_=[[("value@events", "gt", 90)]]).select({"c_custkey": "c_custkey", "event_id": "event_id@events"})
-
-
-@query("SELECT n.n_name, c.c_custkey, e.event_id FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN events e ON e.user_id = c.c_custkey AND e.event_type = 'view'")
-def join_left_leaf_all(db):
-    return db.query("nation").left_join_leaf({"customers": "events"}, [("event_type@events", "view")]).select({"n_name": "n_name", "c_custkey": "c_custkey@customers", "event_id": "event_id@events"})
+@query("SELECT c.c_custkey, n.n_name, count(o.o_orderkey) AS n_orders FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P' GROUP BY ALL")
+def from_opts_includes(db):
+    allowed = {"nation": "nation", "pending": ("orders", {"where": [("o_orderstatus", "P")]})}
+    q = db.query("customer").from_opts([("include", ["pending", "nation"])], includes=allowed)
+    return lambda spark: q.to_df(spark).select("c_custkey", F.col("nation.n_name").alias("n_name"), F.size("orders").cast("long").alias("n_orders"))
 
 
-@query("SELECT c.c_custkey, o.o_orderkey, l.l_quantity FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_quantity > 48")
-def join_left_path_all(db):
-    return db.query("customer").left_join_path({"orders": "lineitems"}, [("l_quantity@lineitems", "gt", 48)]).select({"c_custkey": "c_custkey", "o_orderkey": "o_orderkey@orders", "l_quantity": "l_quantity@lineitems"})
+@query("SELECT o_orderkey FROM orders WHERE year(o_orderdate) = 1995 AND o_totalprice >= 100000")
+def extension(db):
+    """An operation that the caller defines, among options."""
+    from relweave.operators.options import Extension
 
+    more = Extension()
 
-@query("SELECT c_custkey AS _1, c_name AS _2, 7 AS _3, 'x' AS _4 FROM customer")
-def select_tuple_all(db):
-    return db.query("customer").select(("c_custkey", "c_name", 7, lit_("x")))
-
+    @more.operation(boundary=True)
+    def in_year(query, year):
+        return query.where(lambda r: F.year(r("o_orderdate")) == year)
 
-@query("SELECT c_custkey AS key, upper(c_mktsegment) AS segment, 1 AS one, c_acctbal AS balance FROM customer")
-def select_merge_all(db):
-    return db.query("customer").select({"key": "c_custkey", "segment": lambda r: F.upper(r("c_mktsegment"))}).select_merge({"one": lit_(1)}).select_merge({"balance": "c_acctbal"})
+    return db.query("orders").from_opts([("in_year", 1995), ("where", [("o_totalprice", "ge", 100000)])], extension=more).select("o_orderkey")
 
 
-@query("SELECT c.c_custkey, c.c_name, c.c_nationkey, c.c_acctbal, c.c_mktsegment, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY ALL")
-def group_by_primary_key_all(db):
-    return db.query("customer").group_by("orders", "c_custkey").select({k: k for k in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")} | {"n": count("o_orderkey@orders")})
-
-
-@query("""SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN LATERAL
-(SELECT * FROM orders x WHERE x.o_custkey = c.c_custkey ORDER BY x.o_totalprice DESC, x.o_orderkey LIMIT 2) o ON true""")
-def left_join_top_n_all(db):
-    q = db.query("customer").left_join_top_n("orders", n=2, order_by=[("desc", "o_totalprice"), ("asc", "o_orderkey")])
-    return lambda spark: q.to_df(spark).select("customer.c_custkey", "orders.o_orderkey")
-
-
-@query("SELECT c.c_custkey, coalesce(string_agg(o.o_orderkey::VARCHAR, ',' ORDER BY o.o_orderkey), '') AS keys FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey")
-def preload_separate_all(db):
-    q = db.query("customer").preload_separate(["orders", "nation"])
-    return lambda spark: _listed(q.to_df(spark), "c_custkey", "orders", "o_orderkey", "keys")
-
-
-@query("SELECT c.c_custkey, coalesce(string_agg(o.o_orderkey::VARCHAR, ',' ORDER BY o.o_totalprice DESC, o.o_orderkey), '') AS keys FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'O' GROUP BY c.c_custkey")
-def preload_separate_scoped_all(db):
-    q = db.query("customer").preload_separate_scoped("orders", where=[("o_orderstatus", "O")], order_by=[("desc", "o_totalprice"), ("asc", "o_orderkey")])
-    return lambda spark: _listed(q.to_df(spark), "c_custkey", "orders", "o_orderkey", "keys")
+@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY length(text) DESC, conv_id, turn) AS rn FROM conversations) WHERE rn <= 5")
+def top_n_per_composite_key(db):
+    return db.query("conversations").top_n_per(partition_by="role", order_by=[("desc", lambda r: F.length(r("text"))), ("asc", "conv_id"), ("asc", "turn")], n=5).select(["conv_id", "turn"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from relweave.sources.schema import Registry, Schema, belongs_to, has_many, has_one, has_through
+from relweave.sources.schema import Registry, Schema, belongs_to, has_many, has_one, has_through, many_to_many
 
 
 def catalog(sf_dir: str) -> Registry:
@@ -23,6 +23,7 @@ def catalog(sf_dir: str) -> Registry:
         Schema("supplier", at("supplier"), ("s_suppkey",), {
             "nation": belongs_to("nation", "s_nationkey", "n_nationkey"),
             "lineitems": has_many("lineitem", "s_suppkey", "l_suppkey"),
+            "parts": many_to_many("part", "s_suppkey", "p_partkey", "lineitem", "l_suppkey", "l_partkey"),
         }),
         Schema("part", at("part"), ("p_partkey",), {"lineitems": has_many("lineitem", "p_partkey", "l_partkey")}),
         Schema("orders", at("orders"), ("o_orderkey",), {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -76,7 +77,7 @@ class Registry:
 
     def __init__(self, *schemas: Schema):
         self.schemas: dict[str, Schema] = {}
-        self._frames: dict[tuple[int, str], DataFrame] = {}
+        self._frames: weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]] = weakref.WeakKeyDictionary()
         for s in schemas:
             self.add(s)
 
@@ -92,10 +93,10 @@ class Registry:
         return self.schemas[name]
 
     def frame(self, spark: SparkSession, name: str) -> DataFrame:
-        key = (id(spark), name)
-        if key not in self._frames:
-            self._frames[key] = self[name].read(spark)
-        return self._frames[key]
+        frames = self._frames.setdefault(spark, {})
+        if name not in frames:
+            frames[name] = self[name].read(spark)
+        return frames[name]
 
     def assoc(self, schema: Schema, name: str) -> Assoc:
         if name not in schema.assocs:
