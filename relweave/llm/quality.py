@@ -6,8 +6,10 @@ by prefix doubling, only where they are still tied; the ranks of each round give
 The deepest LCP interval around a suffix has the value max(lcp to its left, lcp to its right) = m; words [i, i + m) are then a
 repeat that can't be prolonged to the right. The union of those spans of at least ``min_words`` words is the covered part.
 
-Cases: a null text counts as empty (no words, rejected as short); texts without words likewise; repeated rows stay repeated.
-Texts of any length are worked on whole; a batch ends once it has ``BATCH_WORDS`` words, one text at least.
+Cases: a null text counts as empty (no words, rejected as short); texts without words likewise; repeated rows stay repeated; ties:
+exactly at a limit (30 words of 100 in repeated windows, a covered share of ``MAX_COVERED``, a longest repeat of ``MAX_LONGEST``) a text passes, and one
+of ``LONGEST_FROM`` words counts as long; an empty table gives no rows; extra columns stay, but a column named as the result is an
+error. Texts of any length are worked on whole; a batch ends once it has ``BATCH_WORDS`` words, one text at least.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relweave.llm.common import WORD
+from relweave.llm.common import WORD, new_column
 
 #: Production limits. A repeat counts from so many words on, below the windows of 8 of the base rule; the covered share of the
 #: words; the longest repeat's share and words. Two copies of the longest may cover less than the covered share allows.
@@ -128,6 +130,30 @@ def measure(texts: list[str]) -> pd.DataFrame:
     )
 
 
+def oracle() -> str:
+    """The query's rows in DuckDB's SQL. Words that lie in repeats of n words or more are those in windows of n words that are found
+    again in their text; the longest repeat comes from lengthening, step by step, what is found again."""
+    word = r"[^ \t\n\x0B\f\r]"
+    windows = lambda n: f"""
+    SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {n})) AS p FROM (
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (SELECT doc_id, unnest(range(1, len(w) - {n - 2})) AS i, w[i : i + {n - 1}] AS g FROM words WHERE len(w) >= {n})) WHERE n > 1) GROUP BY doc_id"""
+    return f"""
+WITH RECURSIVE words AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}+') AS w FROM documents),
+same AS (
+  SELECT doc_id, i, 1 AS size, g FROM (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, x) AS g, count(*) OVER (PARTITION BY doc_id, x) AS n FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM words)) WHERE n > 1
+  UNION ALL
+  SELECT doc_id, i, size, g FROM (
+    SELECT a.doc_id, a.i, a.size + 1 AS size, min(a.i) OVER (PARTITION BY a.doc_id, a.g, b.g) AS g, count(*) OVER (PARTITION BY a.doc_id, a.g, b.g) AS n FROM same a JOIN same b ON a.doc_id = b.doc_id AND b.i = a.i + 1) WHERE n > 1),
+longest AS (SELECT doc_id, max(size) AS n FROM same GROUP BY doc_id),
+dups AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id, l) AS nth FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM words)) WHERE nth > 1 AND regexp_matches(l, '{word}') GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(c.n, 0) AS covered_words, CAST(coalesce(l.n, 0) AS BIGINT) AS longest_repeat
+  FROM words LEFT JOIN dups d USING (doc_id) LEFT JOIN ({windows(8)}) r USING (doc_id) LEFT JOIN ({windows(MIN_WORDS)}) c USING (doc_id) LEFT JOIN longest l USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)
+SELECT *, NOT base_failed AND covered_words <= {MAX_COVERED} * n_words AND NOT (longest_repeat >= {LONGEST_FROM} AND longest_repeat > {MAX_LONGEST} * n_words) AS kept FROM judged"""
+
+
 def _run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         done, some, size = [], [], 0
@@ -144,5 +170,6 @@ def _run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def quality(docs: DataFrame, text_col: str = "text", into: str = "quality") -> DataFrame:
     """The rows of docs with a column ``into``: the struct RESULT."""
+    new_column(docs, into)
     run = F.pandas_udf(_run, RESULT).asNondeterministic()
     return docs.withColumn(into, run(F.col(text_col)))

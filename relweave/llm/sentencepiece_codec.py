@@ -4,8 +4,9 @@ The model's pieces never cross from a character to a whitespace marker (checked
 cut before each run of markers. Each distinct chunk is then segmented once by a worker, and the ids go back to the chunks'
 places by gathering from one flat array. Nothing is shuffled: the table lives in the worker, with a bound on its entries.
 
-Cases: a null text counts as empty; an empty text has no ids and decodes to the empty string; repeated rows stay repeated;
-other columns are kept by the caller and never read. A text's length is not limited.
+Cases: a null text counts as empty; an empty text has no ids and decodes to the empty string; repeated rows stay repeated; which
+of two chunks is learnt first decides nothing but their places in the table; an empty table gives no rows; other columns stay
+and are never read, but a column named as the result is an error. Texts of any length are encoded whole.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relweave.llm.common import new_column
+
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: A worker hands back results of about so many characters at a time, and its table holds so many chunks.
@@ -139,4 +142,5 @@ def codec_udf(spark: SparkSession, model_path: str):
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", into: str = "pieces") -> DataFrame:
     """The rows of docs with a column ``into``: struct(ids array<int>, decoded string)."""
+    new_column(docs, into)
     return docs.withColumn(into, codec_udf(docs.sparkSession, model_path)(F.col(text_col)))
