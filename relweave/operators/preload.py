@@ -61,6 +61,9 @@ def hydrate(stage, order: list[tuple[str, Column]], collapse: bool, planner) ->
             df = df.groupBy(*[col(k) for k in keys]).agg(*kids, *[F.first(col(c)).alias(c) for c in rest], *[(F.max(col(c)) if d else F.min(col(c))).alias(c) for c, d in zip(sorts, down, strict=True)])
         if sorts:
             df = df.orderBy(*[ordered(col(c), d) for c, (d, _) in zip(sorts, order, strict=True)])
+    elif order:
+        # The joins above keep no order.
+        df = df.orderBy(*[ordered(c, d) for d, c in order])
     return df.select(*[col(c).alias(c[1:]) for c in own[root.path] if c != "/" + PRESENT])
 
 

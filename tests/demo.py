@@ -1,34 +1,34 @@
-"""The demo graph: users with roles, articles, comments. Small, with nulls and ties."""
+"""A small community garden: people in crews, plots, visits to them. With nulls, ties, wildcards and a backslash in names."""
 
 from relweave.sources import Registry, Schema, belongs_to, has_many, has_one, has_through, many_to_many
 
-USERS = [
-    (100, "Alice", "alice@example.com", "Alice", False, 2), (101, "Bob", "the_bob@example.com", "Bobby", False, 2), (102, "Eric", None, "Eric", True, 4),
-    (103, "Charlie", "charlie@example.com", "Lee", False, 2), (200, "Dave", "dave@example.com", "Dave", False, 1), (201, "Richard", "richard@example.com", "Rich", False, 1),
-    (202, "An% we_ird %name_%", "weirdo@example.com", "John", False, 4), (203, "An_ we_ird %name_%", "weirdo@example.com", "James", False, 4), (300, "Calvin", "calvin@example.com", "Calvin", False, 3),
+PEOPLE = [
+    (11, "Mara", "mara@garden.test", "Mara", False, 1), (12, "Teo", "teo.m@garden.test", "Teodor", False, 1), (13, "Ines", None, "Ines", True, 3), (14, "Bruno", "bruno@garden.test", "Bru", False, 2),
+    (15, "Marina", "old_marina@garden.test", "Mari", False, 2), (16, "Olek", "olek@garden.test", "Olek", True, 3), (17, "50%_off Petra", "petra@shop.test", "Pet", False, 3), (18, "50_ off Petra", "petra@shop.test", None, False, 3),
+    (19, "Ruth", "ruth@garden.test", "ruth", False, None), (20, "Kai\\o", "kai@garden.test", "Kai\\o", False, 2),
 ]
-ROLES = [(1, "admin"), (2, "author"), (3, "publisher"), (4, "reader")]
-PERMISSIONS = [(i, n, r) for i, (n, r) in enumerate([("read", 1), ("delete", 1), ("read", 2), ("write", 2), ("read", 3), ("publish", 3), ("read", 4)], 1)]
-ARTICLES = [(1, "V1.9 RELEASED", ["baz", "qux"], 100, 300), (2, "A NEW CLIENT", ["baz"], 100, 300), (3, "V1.8 RELEASED", ["foo", "bar"], 101, 300), (4, "TRAVEL", ["foo", "bar"], 103, 300)]
-COMMENTS = [(i, "It's great!", 102, (i + 1) // 2) for i in range(1, 9)]
-LIKES = [(i, (i + 1) // 2, 102) for i in range(1, 9)]
-COMPOSITE = [(1, 2, "same"), (2, 1, "same"), (1, 1, "same")]
+CREWS = [(1, "water"), (2, "seeds"), (3, "tools")]
+RIGHTS = [(1, "open", 1), (2, "lend", 3), (3, "open", 3), (4, "sow", 2), (5, "open", 2), (6, "pump", 1), (7, "log", 3), (8, "sow", 1)]
+PLOTS = [(1, "EARLY PEAS", ["pea", "north"], 11, 15), (2, "LATE PEAS", ["pea"], 11, 15), (3, "TOMATO ROW", ["fruit", "south"], 12, 15), (4, "HERB SPIRAL", ["fruit", "south"], 14, 20), (5, "COMPOST", None, 14, 20)]
+VISITS = [(i, "weeded", 13, plot) for i, plot in enumerate([1, 1, 1, 2, 3, 3, 4, 4, 4], 1)]
+STARS = [(1, 1, 13), (2, 2, 13), (3, 3, 13), (4, 4, 16), (5, 3, 16)]
+COMPOSITE = [(1, 2, "tie"), (2, 1, "tie"), (1, 1, "tie"), (0, 9, "apart")]
 
 
 def demo(spark) -> Registry:
     make = spark.createDataFrame
     return Registry(
-        Schema("users", make(USERS, "id long, name string, email string, nickname string, deleted boolean, role_id long"), ("id",), {
-            "role": belongs_to("roles", "role_id", "id"), "authored_articles": has_many("articles", "id", "author_id"), "published_articles": has_many("articles", "id", "publisher_id"),
-            "authored_comments": has_through("authored_articles", "comments"), "liked": many_to_many("articles", "id", "id", "likes", "user_id", "article_id"),
+        Schema("people", make(PEOPLE, "id long, name string, email string, alias string, away boolean, crew_id long"), ("id",), {
+            "crew": belongs_to("crews", "crew_id", "id"), "grown": has_many("plots", "id", "grower_id"), "tended": has_many("plots", "id", "steward_id"),
+            "received": has_through("grown", "visits"), "starred": many_to_many("plots", "id", "id", "stars", "person_id", "plot_id"),
         }, {"name": lambda v: v.strip() if isinstance(v, str) else v}),
-        Schema("roles", make(ROLES, "id long, name string"), ("id",), {"users": has_many("users", "id", "role_id"), "permissions": has_many("permissions", "id", "role_id")}),
-        Schema("permissions", make(PERMISSIONS, "id long, name string, role_id long"), ("id",), {"role": belongs_to("roles", "role_id", "id")}),
-        Schema("articles", make(ARTICLES, "id long, title string, tags array<string>, author_id long, publisher_id long"), ("id",), {
-            "author": belongs_to("users", "author_id", "id"), "publisher": belongs_to("users", "publisher_id", "id"), "comments": has_many("comments", "id", "article_id"), "first_comment": has_one("comments", "id", "article_id"),
+        Schema("crews", make(CREWS, "id long, name string"), ("id",), {"people": has_many("people", "id", "crew_id"), "rights": has_many("rights", "id", "crew_id")}),
+        Schema("rights", make(RIGHTS, "id long, name string, crew_id long"), ("id",), {"crew": belongs_to("crews", "crew_id", "id")}),
+        Schema("plots", make(PLOTS, "id long, title string, labels array<string>, grower_id long, steward_id long"), ("id",), {
+            "grower": belongs_to("people", "grower_id", "id"), "steward": belongs_to("people", "steward_id", "id"), "visits": has_many("visits", "id", "plot_id"), "first_visit": has_one("visits", "id", "plot_id"),
         }),
-        Schema("comments", make(COMMENTS, "id long, body string, user_id long, article_id long"), ("id",), {"user": belongs_to("users", "user_id", "id"), "article": belongs_to("articles", "article_id", "id")}),
-        Schema("likes", make(LIKES, "id long, article_id long, user_id long"), ("id",), {}),
+        Schema("visits", make(VISITS, "id long, body string, person_id long, plot_id long"), ("id",), {"person": belongs_to("people", "person_id", "id"), "plot": belongs_to("plots", "plot_id", "id")}),
+        Schema("stars", make(STARS, "id long, plot_id long, person_id long"), ("id",), {}),
         Schema("composite", make(COMPOSITE, "tenant_id long, user_id long, name string"), ("tenant_id", "user_id")),
-        Schema("keyless", make([(1,)], "x long"), (), {"users": has_many("users", "x", "id")}),
+        Schema("keyless", make([(1,)], "x long"), (), {"people": has_many("people", "x", "id")}),
     )
