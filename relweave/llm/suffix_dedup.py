@@ -469,14 +469,31 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def with_masks(found: DataFrame) -> DataFrame:
         return blocks.join(found.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask", "hot")).alias("masks")), "block", "left")  # bits for each key of one block
 
-    hot = masks.where(F.col("hot").isNotNull())
-    if not hot.isEmpty():
-        # Windows of hot keys: what their hashes tell replaces what the keys told. No window is told hot.
-        wide = with_masks(masks).where(F.exists("masks", lambda m: m["hot"].isNotNull()))
-        masks = masks.union(written(wide.mapInPandas(_keys(n), told).groupBy("bucket").applyInPandas(_shared(LAST), kind), "suffix-window-masks"))
+    # Windows of hot keys: what their hashes tell replaces what the keys told. No window is told hot.
+    wide = with_masks(masks).where(F.exists("masks", lambda m: m["hot"].isNotNull()))
+    masks = masks.union(written(wide.mapInPandas(_keys(n), told).groupBy("bucket").applyInPandas(_shared(LAST), kind), "suffix-window-masks"))
     marked = with_masks(masks)
     texts = marked.mapInPandas(_texts(n), "bucket long, block long, sizes binary, least binary, most binary, texts binary")
     answers = written(texts.groupBy("bucket").applyInPandas(_answers, "block long, bucket long, which binary, counts binary, lens binary, vals binary"), "suffix-answers")
     told = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "which", "counts", "lens", "vals")).alias("answers"))  # of one block's texts
     final = marked.join(told, "block", "left").mapInPandas(_remove(n), "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return final.withColumnRenamed("id", id_col)
+
+
+def oracle() -> str:
+    """The query's rows in DuckDB's SQL, for documents with ids of their own: every string of DEPTH bytes, in hexadecimal digits."""
+    return f"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, s, substring(h, 2 * s + 1, {2 * DEPTH}) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {DEPTH - 1})) AS s FROM texts)),
+firsts AS (SELECT g, min(doc_id) AS least FROM windows GROUP BY g),
+gone AS (SELECT w.doc_id, w.s FROM windows w JOIN firsts f ON w.g = f.g WHERE f.least < w.doc_id),
+edges AS (SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {DEPTH}, true)::INTEGER AS opens FROM gone),
+numbered AS (SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM edges),
+spans AS (SELECT doc_id, span, min(s) AS a, max(s) + {DEPTH} AS b FROM numbered GROUP BY doc_id, span),
+pieces AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS lo, a AS hi FROM spans
+  UNION ALL SELECT t.doc_id, coalesce(max(b), 0), length(any_value(h)) // 2 FROM texts t LEFT JOIN spans s ON s.doc_id = t.doc_id GROUP BY t.doc_id),
+kept AS (SELECT p.doc_id, string_agg(substring(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo, hi) AS h FROM pieces p JOIN texts t ON t.doc_id = p.doc_id GROUP BY p.doc_id),
+counts AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT t.doc_id, CAST(length(t.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, coalesce(c.n_spans, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM texts t JOIN kept k ON k.doc_id = t.doc_id LEFT JOIN counts c ON c.doc_id = t.doc_id"""
