@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.oracle(CONTROL), "op2_line_dedup": lines.oracle(), "op4_secret_scan": secrets.oracle(), "op7_minhash": minhash.oracle(), "op9_fingerprints": merkle.oracle()}
+    return {"op1_chat_formatting": chat.oracle(CONTROL), "op2_line_dedup": lines.oracle(), "op3_suffix_dedup": suffix_dedup.oracle(), "op4_secret_scan": secrets.oracle(), "op6_quality_rules": quality.oracle(), "op7_minhash": minhash.oracle(), "op9_fingerprints": merkle.oracle()}

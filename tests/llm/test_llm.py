@@ -91,7 +91,9 @@ def test_chat_precedence(spark):
     assert got == {1: ("turn rows", [(0, "user", "t")]), 2: ("messages", [(0, "user", "hi")]), 3: ("prompt and completion", [(1, "user", "p"), (2, "assistant", "c")]), 4: ("turn rows", [(None, "user", "no number")]), 5: (None, [(None, None, None)])}
 
 
-def test_line_dedup(docs, spark, by_id):
+@pytest.mark.parametrize("broadcast", [32_000_000, 0])
+def test_line_dedup(docs, spark, by_id, monkeypatch, broadcast):
+    monkeypatch.setattr(lines, "BROADCAST", broadcast)
     many = docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 0, "\nboiler plate\n").otherwise("\n")))
     out = lines.line_dedup(many, "source", max_ratio=0.2).collect()
     assert len(out) == docs.count()
@@ -102,6 +104,10 @@ def test_line_dedup(docs, spark, by_id):
     keep = lambda s, t: "\n".join(x for x in t.split("\n") if not (has[s, x] >= 3 and has[s, x] > 0.2 * total[s]))
     assert Counter((r["doc_id"], r["text"]) for r in out) == Counter((r["doc_id"], keep(r["source"], r["text"])) for r in rows)
     assert any(r["__n_dropped"] for r in out) and lines.line_dedup(empty(docs)).count() == 0
+    plan = lines.line_dedup(many, "source", max_ratio=0.2)._jdf.queryExecution().executedPlan().toString()
+    assert ("__page_salt" in plan) == (not broadcast)
+    with pytest.raises(ValueError, match="__n_lines"):
+        lines.line_dedup(many.withColumn("__n_lines", F.lit(1)))
 
 
 def test_line_dedup_coarse_source(spark):
@@ -207,6 +213,8 @@ def test_sentencepiece(docs, by_id):
         ids = library.encode(r["text"] or "")
         assert list(r["pieces"]["ids"]) == ids and r["pieces"]["decoded"] == library.decode(ids)
     assert sentencepiece_codec.encode(empty(docs), piece_model()).count() == 0
+    with pytest.raises(ValueError, match="text"):
+        sentencepiece_codec.encode(docs, piece_model(), into="text")
 
 
 def test_sentencepiece_chunks():
@@ -222,7 +230,7 @@ def test_sentencepiece_chunks():
 
 
 def test_quality(docs, by_id):
-    got = quality.quality(docs).select("doc_id", "text", "quality.*").collect() if "quality" not in docs.columns else []
+    got = quality.quality(docs).select("doc_id", "text", "quality.*").collect()
     assert len(got) == docs.count()
     for r in got:
         t = r["text"] or ""
@@ -237,8 +245,22 @@ def test_quality(docs, by_id):
             earlier.add(x)
         bad = len(w) < 20 or 100 * len(windows) > 30 * len(w)
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(windows), bad)
-        assert not (bad and r[-1])
+        spans, longest = set(), 0  # of every repeat, however long, from each pair of places
+        for i in range(len(w) if len(w) < 1000 else 0):
+            for j in range(i):
+                k = 0
+                while i + k < len(w) and w[i + k] == w[j + k]:
+                    k += 1
+                longest = max(longest, k)
+                if k >= quality.MIN_WORDS:
+                    spans |= set(range(i, i + k)) | set(range(j, j + k))
+        if len(w) < 1000:
+            assert (r["covered_words"], r["longest_repeat"]) == (len(spans), longest)
+        poor = r["covered_words"] > quality.MAX_COVERED * len(w) or (r["longest_repeat"] >= quality.LONGEST_FROM and r["longest_repeat"] > quality.MAX_LONGEST * len(w))
+        assert r["kept"] == (not bad and not poor)
     assert quality.quality(empty(docs)).count() == 0
+    with pytest.raises(ValueError, match="quality"):
+        quality.quality(docs.withColumn("Quality", F.lit(1)))
 
 
 def test_quality_verdict(spark):
@@ -502,20 +524,35 @@ def test_mixing(docs, by_id):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs).collect()))
-    size, taken, target = Counter(), Counter(), {}
+    source_of, size, taken, copies = {}, Counter(), Counter(), {}
     for d in docs.select("doc_id", "source").collect():
-        r = next(x for x in got if x["doc_id"] == d["doc_id"])
-        n = len(WORD.findall(by_id[d["doc_id"]]))
-        assert r["size"] == n and r["taken"] == n * r["copies"] and 0 <= r["copies"] <= 3
+        source_of[d["doc_id"]] = d["source"]
+        size[d["source"]] += len(WORD.findall(by_id[d["doc_id"]]))
+    sources = sorted(size, key=lambda x: (x is None, x or ""))
+    wanted = dict(zip(sources, mixing.targets([size[x] for x in sources], [(1, 2, 3)[i % 3] for i in range(len(sources))]), strict=True))
     for r in got:
-        size[r["source_size"]] += 1
-        taken[r["target"]] += r["taken"]
-        target[r["target"]] = r["source_size"]
-    # A source of one huge document and few others may miss its target by what no subset sums to.
-    assert all(t <= 3 * s + 1e-6 and k <= t + 1 for t, s, k in ((t, target[t], taken[t]) for t in target))
+        n, source = len(WORD.findall(by_id[r["doc_id"]])), source_of[r["doc_id"]]
+        assert (r["size"], r["source_size"], r["taken"]) == (n, size[source], n * r["copies"]) and 0 <= r["copies"] <= 3 and abs(r["target"] - wanted[source]) < 1e-6
+        taken[source] += r["taken"]
+        copies.setdefault(source, []).append((n, r["copies"]))
+    for x in sources:
+        budget, sums = round(wanted[x]), {0}
+        rounds = min(budget // size[x], 3) if size[x] else 0
+        for n, _ in copies[x]:
+            sums |= {t + n for t in sums}
+        best = max(t for t in sums if t <= budget - rounds * size[x]) if rounds < 3 else 0
+        assert taken[x] == rounds * size[x] + best, x
+        assert all(c in (rounds, rounds + 1) for _, c in copies[x])
     assert mixing.mix(empty(docs)).count() == 0
 
 
+def test_mixing_seed(spark):
+    """The seed settles which documents of a size are taken, and how many doesn't depend on it."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), (F.col("id") % 7).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("source"))
+    runs = [{r["doc_id"]: (r["size"], r["copies"]) for r in mixing.mix(docs, seed=s).collect()} for s in (7, 7, 8)]
+    assert runs[0] == runs[1] != runs[2] and Counter(runs[0].values()) == Counter(runs[2].values())
+
+
 def test_mixing_hot_size(spark):
     docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 6000, "hot").otherwise("cold").alias("source"))
     got = mixing.mix(docs).groupBy("source_size").agg(F.sum("taken").alias("k"), F.first("target").alias("t")).collect()
