@@ -81,6 +81,8 @@ class Query:
     registry: Registry = field(repr=False)
     schema: Schema
     ops: tuple[Op, ...] = ()
+    #: Associations that a wrapped frame has joined: path, fields with their columns, primary key.
+    bound: tuple = ()
 
     def _with(self, kind: str, assocs: Any = None, **data: Any) -> Query:
         return replace(self, ops=(*self.ops, Op(kind, assocs, data)))

@@ -142,13 +142,22 @@ class Planner:
         rows = source(self.query, self.spark)
         if rows.isStreaming:
             check_streamable(self.query)
-        df, stage = prefixed(rows, "/"), None
+        df, stage = self.bind(rows), None
         for i, ops in enumerate(stages):
-            stage = self.stage(df, ops, preloads if i == len(stages) - 1 else [])
+            stage = self.stage(df, ops, preloads if i == len(stages) - 1 else [], () if i else self.query.bound)
             if ops and ops[-1].kind == BARRIER:
                 df = stage.df.select(*[col(c) for c in stage.df.columns if c.startswith("/")])
         return stage, stages[-1], preloads
 
+    def bind(self, rows: DataFrame) -> DataFrame:
+        """The root's columns, and those of associations that a wrapped frame has joined."""
+        taken = {c for _, fields, _ in self.query.bound for _, c in fields}
+        columns = [*[col(c).alias("/" + c) for c in rows.columns if c not in taken], F.lit(True).alias("/" + PRESENT)]
+        for path, fields, key in self.query.bound:
+            prefix, of = "/".join(path) + "/", dict(fields)
+            columns += [*[col(c).alias(prefix + f) for f, c in fields], col(of[key[0]]).isNotNull().alias(prefix + PRESENT)]
+        return rows.select(*columns)
+
     def tree(self, ops: list, preloads: list) -> Tree:
         tree = Tree(self.registry, self.query.schema)
         for op in ops:
@@ -160,9 +169,16 @@ class Planner:
             tree.add_preload(op.assocs, op.data["how"], op.data.get("options"))
         return tree
 
-    def joins(self, df: DataFrame, tree: Tree, left_default: str = "left") -> DataFrame:
-        """Joins all nodes; one whose ON filters name others waits for them."""
-        done, todo = {tree.root.path}, tree.nodes()[1:]
+    def joins(self, df: DataFrame, tree: Tree, left_default: str = "left", bound: tuple = ()) -> DataFrame:
+        """Joins all nodes; one whose ON filters name others waits for them. Those that are bound are there already: an inner join
+        of one drops the rows that lack it."""
+        there = {path for path, _, _ in bound}
+        done, todo = {tree.root.path} | there, [n for n in tree.nodes()[1:] if n.path not in there]
+        for n in tree.nodes():
+            if n.path in there and n.on:
+                raise QueryError(f"{'.'.join(n.path)} is joined by the frame; filters can't be added to that join")
+            if n.path in there and n.qualifier == "inner":
+                df = df.where(col(n.column(PRESENT)))
         while todo:
             for n in todo:
                 needs = {tree.find(t)[0].path for f, gs in n.on for g in (f, *gs) for t in tokens_of(g)} - {n.path}
@@ -192,9 +208,9 @@ class Planner:
             todo = [x for x in todo if x is not n]
         return df
 
-    def stage(self, df: DataFrame, ops: list, preloads: list) -> Stage:
+    def stage(self, df: DataFrame, ops: list, preloads: list, bound: tuple = ()) -> Stage:
         tree = self.tree(ops, preloads)
-        stage = Stage(tree, self.joins(df, tree))
+        stage = Stage(tree, self.joins(df, tree, bound=bound))
         for op in ops:
             if op.kind == "where":
                 given = [g for g in op.data["groups"] if g]

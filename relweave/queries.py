@@ -158,6 +158,19 @@ def where_not_exists_nested(db):
     return db.query("customer").where_not_exists_subquery({"orders": "lineitems"}, scope=[], where=[("l_returnflag@lineitems", "R")]).select("c_custkey")
 
 
+@query("SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE c.c_acctbal < 0 AND o.o_totalprice > 200000")
+def wrap_joined(db):
+    """A frame that holds the orders' customers: they are not joined again, the nations are."""
+
+    def run(spark: SparkSession) -> DataFrame:
+        orders, customers = (spark.read.parquet(db[t].source) for t in ("orders", "customer"))
+        frame = orders.join(customers, orders["o_custkey"] == customers["c_custkey"], "left")
+        q = db.wrap("orders", frame, {"customer": {c: c for c in customers.columns}})
+        return q.where("customer", [("c_acctbal@customer", "lt", 0), ("o_totalprice", "gt", 200000)]).where({"customer": "nation!"}, []).select({"o_orderkey": "o_orderkey", "c_name": "c_name@customer", "n_name": "n_name@nation"}).to_df(spark)
+
+    return run
+
+
 @query("SELECT c.c_custkey, n.n_name, r.r_name FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey WHERE c.c_acctbal > 8000")
 def join_implicit_left(db):
     return db.query("customer").where(("c_acctbal", "gt", 8000)).select({"nation": "region"}, {"c_custkey": "c_custkey", "n_name": "n_name@nation", "r_name": "r_name@region"})

@@ -132,11 +132,27 @@ class Registry:
 
         return Query(self, self[name])
 
-    def wrap(self, name: str, df: DataFrame):
-        """A query on a given DataFrame in the place of the schema's table; it must have the schema's key."""
+    def wrap(self, name: str, df: DataFrame, joined: dict[str, dict[str, str]] | None = None):
+        """A query on a given DataFrame in the place of the schema's table; it must have the schema's key.
+
+        ``joined``: associations whose rows the frame holds already, as names (``customer`` or ``customer.nation``) with their
+        fields and the frame's columns for those. They are not joined again; the other columns are the root's.
+        """
         from relweave.operators.query import Query
 
-        schema = self[name]
-        if missing := [k for k in schema.primary_key if k not in df.columns]:
+        schema, bound = self[name], []
+        for path, fields in (joined or {}).items():
+            at = schema
+            for hop in path.split("."):
+                at = self.related(at, hop)
+            if missing := [k for k in at.primary_key if k not in fields] or [c for c in fields.values() if c not in df.columns]:
+                raise BuildError(f"joined {path}: {', '.join(missing)} is missing")
+            if not at.primary_key:
+                raise BuildError(f"joined {path}: {at.name} has no primary key to tell rows that are there")
+            bound.append((tuple(path.split(".")), tuple(fields.items()), at.primary_key))
+        own = set(df.columns) - {c for _, fields, _ in bound for _, c in fields}
+        if missing := [k for k in schema.primary_key if k not in own]:
             raise BuildError(f"the frame lacks {', '.join(missing)} of {name}")
-        return Query(self, replace(schema, source=df))
+        if missing := [p for p, _, _ in bound if len(p) > 1 and p[:-1] not in {x for x, _, _ in bound}]:
+            raise BuildError(f"joined {'.'.join(missing[0])}: name what it hangs on, too")
+        return Query(self, replace(schema, source=df), bound=tuple(bound))

@@ -305,6 +305,27 @@ def test_sources(db, spark):
         db.query("keyless").where_missing("people")
 
 
+def test_wrapped_joins(db, spark):
+    """Associations that a frame has joined are taken from its columns and not joined again."""
+    people, crews = db["people"].source, db["crews"].source
+    frame = people.join(crews.select(F.col("id").alias("c_id"), F.upper("name").alias("c_name")), F.col("crew_id") == F.col("c_id"), "left")
+    q = db.wrap("people", frame, {"crew": {"id": "c_id", "name": "c_name"}})
+    assert names(q.where("crew", ("name@crew", "WATER"))) == ["Mara", "Teo"] and plan(q.where("crew", ("name@crew", "WATER")).to_df()).count("Join") == 1
+    assert q.to_df().columns == people.columns and q.to_df().count() == 10 and q.inner_join("crew").to_df().count() == 9
+    assert plan(q.to_df()).count("Join") <= 1
+    below = q.where({"crew": "rights"}, ("name@rights", "sow"))
+    assert below.to_df().count() == 5 and plan(below.to_df()).count("Join ") == plan(db.query("people").where({"crew": "rights"}, ("name@rights", "sow")).to_df()).count("Join ")
+    grouped = dict(map(tuple, q.group_by("crew", "name@crew").select({"crew": "name@crew", "n": count()}).to_df().collect()))
+    assert grouped == {"WATER": 2, "SEEDS": 3, "TOOLS": 4, None: 1}
+    loaded = q.inner_join("crew").order_by([("asc", "id")]).preload_through_join("crew").to_df().first()
+    assert loaded["crew"].asDict() == {"id": 1, "name": "WATER"}
+    first = q.first_per(partition_by="crew_id", order_by=[("asc", "id")]).where("crew", ("name@crew", "water"))  # a new stage joins by itself
+    assert names(first) == ["Mara"]
+    for bad in (lambda: q.left_join("crew", [("name@crew", "x")]).to_df(), lambda: db.wrap("people", frame, {"crew": {"name": "c_name"}}), lambda: db.wrap("people", frame, {"crew": {"id": "nope"}}), lambda: db.wrap("people", frame, {"crew.rights": {"id": "c_id"}}), lambda: db.wrap("people", frame, {"nope": {"id": "c_id"}})):
+        with pytest.raises(BuildError):
+            bad()
+
+
 def test_nothing_runs_early(db, spark):
     group = "lazy"
     spark.sparkContext.setJobGroup(group, "")
