@@ -4,8 +4,8 @@ A text's set holds the 64-bit hashes of its distinct word shingles. Two bijectio
 applied once, its values are shifted circularly by k steps, the second is applied, and the minimum is coordinate k. Coordinates
 are banded; texts that share a band's values are candidates; a candidate is a link if the exact Jaccard similarity of the full
 sets is high enough. ``layout`` derives bands and the signature filter from the similarity asked for: of pairs exactly at it, less
-than 1 in 100,000 shares no band, and less than 1 in 100,000 is lost by the filter (at 80 %: 40 bands of 6). No pair of another
-kind is lost, and none is linked wrongly.
+than 1 in 100,000 shares no band, and less than 1 in 100,000 is lost by the filter (at 80 %: 40 bands of 6); of more similar ones
+fewer still. None is linked wrongly, and there is no cap on members, candidates or links.
 
 Work is on distinct sets (nodes): copies fall together by a 128-bit name of the set before anything is compared. Buckets are
 never expanded to pairs. Each member is first compared with one pivot of its bucket, and links are contracted to components;
