@@ -41,25 +41,27 @@ def fingerprint(text: Column) -> Column:
     leaves = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.transform(F.regexp_extract_all(p, F.lit(CLAUSE), F.lit(0)), lambda x: F.sha2(x, 256)))
     paragraphs = F.transform(leaves, lambda d: F.concat(F.concat_ws("", F.transform(d, lambda x: F.substring(x, 1, LEAF))), F.lit("."), F.sha2(F.concat_ws("", d), 256)))
     sections = F.split(F.regexp_replace(F.concat_ws(",", paragraphs), "([08]),", "$1;"), ";")
-    hashed = F.transform(sections, lambda s: F.concat(F.sha2(F.regexp_replace(s, r"[0-9a-f]+\.", ""), 256), F.lit(":"), F.regexp_replace(s, rf"\.([0-9a-f]{{{NODE}}})[0-9a-f]+", ".$1")))
+    hashed = F.transform(sections, lambda s: F.concat(F.sha2(F.concat_ws(",", F.transform(F.split(s, ","), lambda e: F.substring_index(e, ".", -1))), 256), F.lit(":"), F.regexp_replace(s, rf"\.([0-9a-f]{{{NODE}}})[0-9a-f]+", ".$1")))
     root = lambda s: F.substring(F.sha2(F.concat_ws("", F.transform(s, lambda x: F.substring(x, 1, 64))), 256), 1, ROOT)
     short = lambda s: F.concat_ws(";", F.transform(s, lambda x: F.concat(F.substring(x, 1, NODE), F.substring(x, 65, 1 << 30))))
     return _let(hashed, lambda s: F.concat_ws("|", root(s), short(s)))
 
 
-def _numbered(hashes: Column, digits: int, side: int) -> Column:
-    """For each hash its key (hash and how many of its kind came before), side and place."""
-    placed = F.array_sort(F.transform(hashes, lambda x, i: F.concat(x, F.lpad(i.cast("string"), 10, "0"))))
-    runs = F.regexp_extract_all(F.concat_ws(",", placed), F.lit(rf"([0-9a-f]{{{digits}}})[0-9]{{10}}(?:,\1[0-9]{{10}})*+"), F.lit(0))
-    one = lambda e, k: F.struct(F.concat(F.substring(e, 1, digits), F.lpad(k.cast("string"), 10, "0")).alias("key"), F.lit(side).alias("side"), F.substring(e, digits + 1, 10).cast("int").alias("place"))
-    return F.flatten(F.transform(runs, lambda r: F.transform(F.split(r, ","), one)))
+def _placed(hashes: Column, side: str) -> Column:
+    """Each hash with its side and place, as text."""
+    return F.transform(hashes, lambda x, i: F.concat(F.lit(";"), x, F.lit(side), F.lpad(i.cast("string"), 10, "0")))
 
 
 def _paired(a: Column, b: Column, digits: int) -> Column:
     """Places in a and in b of equal hashes, the n-th of its kind with the n-th, in the order of a."""
-    both = F.array_sort(F.concat(_numbered(a, digits, 0), _numbered(b, digits, 1)))
-    pairs = lambda x: F.zip_with(x, F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1))), lambda p, q: F.when(p["key"] == q["key"], F.struct(p["place"].alias("a"), q["place"].alias("b"))))
-    return F.array_sort(F.array_compact(_let(both, pairs)))
+    # Sorted together, equal hashes are a run, those of a before those of b; runs that have both are taken out. (The mark in
+    # front of each lets the pattern pass over others quickly, and possessive repeats need no stack.)
+    both = F.sort_array(F.concat(_placed(a, "0"), _placed(b, "1")))
+    runs = F.regexp_extract_all(F.concat_ws("", both), F.lit(rf";([0-9a-f]{{{digits}}})0.{{10}}(?:;\10.{{10}})*+(?:;\11.{{10}})++"), F.lit(0))
+    of = lambda r, side: F.filter(F.split(r, ";"), lambda e: F.substring(e, digits + 1, 1) == side)
+    place = lambda e: F.substring(e, digits + 2, 10).cast("int")
+    pairs = F.flatten(F.transform(runs, lambda r: F.zip_with(of(r, "0"), of(r, "1"), lambda x, y: F.when(x.isNotNull() & y.isNotNull(), F.struct(place(x).alias("a"), place(y).alias("b"))))))
+    return F.when(F.arrays_overlap(a, b), F.sort_array(F.array_compact(pairs))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
 
 
 def _rest(items: Column, pairs: Column, side: str) -> Column:
