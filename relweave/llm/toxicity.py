@@ -133,7 +133,8 @@ def label_model(votes: np.ndarray, balance: float, rounds: int = 50) -> LabelMod
 
     Rates by class are re-estimated in turn with posteriors. Pairwise correlations within classes are those of what the rates leave
     over, where they stand out from chance; evidence is weighed by the inverse of their matrix, by which voters that say the same
-    thing, or know the same language, count once. It begins with the texts for which two voters fire.
+    thing, or know the same language, count less. What they share is told apart from the class only in part, as classes follow it too. It
+    begins with the texts for which two voters fire.
     """
     (n, m), prior = votes.shape, float(np.clip(balance, 0.001, 0.999))
     p = 1 / (1 + np.exp(-2.0 * (votes.sum(axis=1) - 1.5)))
