@@ -484,7 +484,8 @@ def oracle() -> str:
     """The query's rows in DuckDB's SQL, for documents with ids of their own: every string of DEPTH bytes, in hexadecimal digits."""
     return f"""
 WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-windows AS (SELECT doc_id, s, substring(h, 2 * s + 1, {2 * DEPTH}) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {DEPTH - 1})) AS s FROM texts)),
+parts AS (SELECT doc_id, p, substring(h, 2000 * p + 1, {2000 + 2 * DEPTH - 2}) AS c FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2000 + 1)) AS p FROM texts)),
+windows AS (SELECT doc_id, 1000 * p + k AS s, substring(c, 2 * k + 1, {2 * DEPTH}) AS g FROM (SELECT doc_id, p, c, unnest(range(0, least(1000, length(c) // 2 - {DEPTH - 1}))) AS k FROM parts)),
 firsts AS (SELECT g, min(doc_id) AS least FROM windows GROUP BY g),
 gone AS (SELECT w.doc_id, w.s FROM windows w JOIN firsts f ON w.g = f.g WHERE f.least < w.doc_id),
 edges AS (SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {DEPTH}, true)::INTEGER AS opens FROM gone),
